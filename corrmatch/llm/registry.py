@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif
+from . import gif, jaccard
 
-QUERIES = {f.__name__: f for f in (gif.op1_gif_media,)}
+QUERIES = {f.__name__: f for f in (gif.op1_gif_media, jaccard.op6_ngram_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
