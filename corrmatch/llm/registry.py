@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, jaccard, packing
+from . import gif, jaccard, langid, packing
 
-QUERIES = {f.__name__: f for f in (gif.op1_gif_media, packing.op2_best_fit_packing, jaccard.op6_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (gif.op1_gif_media, packing.op2_best_fit_packing, jaccard.op6_ngram_jaccard, langid.op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
