@@ -1,0 +1,208 @@
+"""Main text of web pages by text-to-tag ratios.
+
+The standard library's parser streams each page.  Block elements cut it into lines;
+a line's ratio is its characters (link texts aside) over its tags.  Lines within
+elements that are never article text (menus, page headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) have ratio 0 and no text.
+The ratios are smoothed by a Gaussian, and a threshold between two clusters of the
+smoothed values (two-means) marks content lines.  The regions that hold marked lines
+are the result, whole: a short line of an article is as much of it as a long one.
+A region is an article or main element, or else the innermost section, division or
+cell; a page with an article or main element that has marked lines takes only those.
+
+Defined cases: a null or empty page, and one without text, has the text '' and 0
+characters; unclosed and wrongly nested tags close as browsers close them, in the
+main; rows are independent, so copies, ties and clashing columns have no effect.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import column, per_batch, read, texts_of
+
+CHUNK = 1 << 16
+SIGMA = 1.0
+
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label".split()
+)
+#: Elements whose text is never the article's.
+_NEVER = frozenset(
+    "head script style noscript template nav footer aside form button select textarea fieldset iframe object canvas svg math audio video dialog menu datalist".split()
+)
+_REGIONS = frozenset("section div td th body html".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Words of class and id names that mark an element as no part of the article.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion menu menubar nav navbar navigation breadcrumb breadcrumbs "
+    "header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices alert banner popup modal newsletter subscribe subscription "
+    "signup login comment comments commentlist disqus respond related recommended share sharing social pagination pager toolbar widget".split()
+)
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+_LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+
+
+def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if not value:
+            continue
+        if name in ("class", "id"):
+            if any(w.lower() in _NAMES for w in _WORD.findall(value)):
+                return True
+        elif name == "role" and value.strip().lower() in _ROLES:
+            return True
+    return False
+
+
+class _Lines(HTMLParser):
+    """Collects (text, length without links, tags, region, whether in an article)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        # tag, is left out, region, in an article
+        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        self.regions, self.links = 0, 0
+        self.parts: list[str] = []
+        self.linked, self.tags = 0, 0
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        _, out, region, article = self.open[-1]
+        if text or self.tags:
+            self.lines.append((text, 0 if out else max(0, len(text) - self.linked), self.tags, region, article))
+        self.parts, self.linked, self.tags = [], 0, 0
+
+    def pop(self, at: int) -> None:
+        while len(self.open) > at:
+            if self.open.pop()[0] == "a":
+                self.links -= 1
+
+    def handle_starttag(self, tag, attrs):
+        block = tag not in _INLINE and tag != "br"
+        if block:
+            self.flush()
+            for at in range(len(self.open) - 1, 0, -1):  # a block ends an open paragraph
+                if self.open[at][0] == "p":
+                    self.pop(at)
+                elif self.open[at][0] not in _INLINE:
+                    break
+            if tag in _LISTS:
+                for at in range(len(self.open) - 1, 0, -1):
+                    if self.open[at][0] == tag or {self.open[at][0], tag} == {"dt", "dd"} or {self.open[at][0], tag} == {"td", "th"}:
+                        self.pop(at)
+                        break
+                    if self.open[at][0] in _LISTS[tag]:
+                        break
+            if self.open[-1][0] == "head" and tag not in _NEVER and tag not in ("title", "meta", "link", "base"):
+                self.pop(len(self.open) - 1)
+        self.tags += 1
+        if tag == "br":
+            self.parts.append(" ")
+        if tag in _VOID:
+            return
+        if tag == "a":
+            self.links += 1
+        _, out, region, article = self.open[-1]
+        main = tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in attrs)
+        named = tag not in ("html", "body") and not main and _named(attrs)
+        if tag in ("article", "main") and any(n == "class" and v and "comment" in v.lower() for n, v in attrs):
+            named = True
+        left_out = out or tag in _NEVER or named or tag == "header" and not article
+        if (main or tag in _REGIONS) and not article:
+            self.regions += 1
+            region = self.regions
+        self.open.append((tag, left_out, region, article or main and not left_out))
+
+    def handle_endtag(self, tag):
+        if tag in _VOID:
+            return
+        if tag not in _INLINE:
+            self.flush()
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] == tag:
+                self.pop(at)
+                break
+            if tag in _INLINE and self.open[at][0] not in _INLINE:
+                break  # an inline end tag ends nothing outside its block
+        self.tags += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID and tag in ("svg", "math", "path", "rect"):
+            self.handle_endtag(tag)
+
+    def handle_data(self, data):
+        if not self.open[-1][1]:
+            self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
+
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find(">", i)
+        return -1 if end < 0 else end + 1
+
+
+def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """The ratios under a Gaussian window of three sigma, normalised at the ends."""
+    r = int(np.ceil(3 * sigma))
+    window = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return np.convolve(ratios, window)[r:-r] / np.convolve(np.ones(len(ratios)), window)[r:-r]
+
+
+def threshold(values: np.ndarray) -> float:
+    """Half way between the means of two clusters of the values."""
+    low, high = float(values.min()), float(values.max())
+    for _ in range(20):
+        upper = values > (low + high) / 2
+        if upper.all() or not upper.any():
+            break
+        new = float(values[~upper].mean()), float(values[upper].mean())
+        if new == (low, high):
+            break
+        low, high = new
+    return (low + high) / 2
+
+
+def main_text(html: str) -> str:
+    """The article's blocks in page order, joined by one space."""
+    parser = _Lines()
+    for at in range(0, len(html), CHUNK):
+        parser.feed(html[at : at + CHUNK])
+    if parser.rawdata.startswith(("<!", "<?")):  # an unclosed comment hides the rest
+        parser.rawdata = ""
+    parser.close()
+    parser.flush()
+    lines = [x for x in parser.lines if x[0] or x[2]]
+    if not any(x[0] for x in lines):
+        return ""
+    ratios = np.array([n / max(1, tags) for _, n, tags, _, _ in lines])
+    values = smooth(ratios)
+    marked = (values >= threshold(values)) & (ratios > 0)
+    if not marked.any():  # texts of links only
+        marked = np.array([bool(x[0]) for x in lines])
+    in_article = np.array([x[4] for x in lines])
+    regions = {x[3] for x, m in zip(lines, marked) if m}
+    if has_text := {x[3] for x in lines if x[4] and x[0]}:
+        regions = {x[3] for x, m in zip(lines, marked & in_article) if m} or has_text
+    return " ".join(x[0] for x in lines if x[0] and x[3] in regions)
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+
+    def rows(batch):
+        got = [main_text(h) for h in texts_of(batch, "html")]
+        return {"page_id": column(batch, "page_id"), "url": column(batch, "url"), "text": got, "n_chars": [len(t) for t in got]}
+
+    return per_batch(pages.select("page_id", "url", "html"), rows, "page_id long, url string, text string, n_chars long")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))

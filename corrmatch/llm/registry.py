@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import gif, jaccard, langid, packing
+from . import fingerprints, gif, html, jaccard, langid, lm, packing
 
-QUERIES = {f.__name__: f for f in (gif.op1_gif_media, packing.op2_best_fit_packing, jaccard.op6_ngram_jaccard, langid.op10_language_id)}
+_ALL = (
+    gif.op1_gif_media, packing.op2_best_fit_packing, jaccard.op6_ngram_jaccard, html.op7_html_extraction,
+    fingerprints.op8_weighted_sampling, lm.op9_lm_scoring, langid.op10_language_id,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}

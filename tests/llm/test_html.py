@@ -1,0 +1,74 @@
+import html as std
+import re
+
+import numpy as np
+import pytest
+
+from corrmatch.llm import html
+
+SF = "/root/testdata/sf0.01"
+
+
+def expected(page):
+    """The article of a test page by plain string work: its tags are simple."""
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split("</?(?:h1|p)>", body)
+    texts = (" ".join(std.unescape(re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b)).split()) for b in blocks)
+    return " ".join(t for t in texts if t)
+
+
+def test_pages_agree_with_their_articles(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = html.op7_html_extraction(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == expected(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+ARTICLE = "Short. " + "A long enough paragraph of the article itself, with words. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><main><h2>Title</h2><p>{a}<p>End.</main><footer>c</footer>",
+        "<body><div id=top-menu><ul><li><a>x</a><li><a>y</a></ul></div><div class=story><h2>Title</h2><p>{a}</p><p>End.</p></div><div class='cookie-notice'>We use cookies on this long long long long page.</div><div id=comments><p>{a}</p></div>",
+        "<article><h2>Title</h2>{a}<div class=ad>Buy buy</div><aside>side</aside><br>\n<form><label>Mail</label><input></form><p>End.</p><script>var x='</p>'</script><section class='comment-list'><p>Nice!</p></section></article>",
+        "<table><tr><td class=sidebar>left<td><h2>Title</h2><p>{a}<p>End.</table>",
+        "<main><article><header><h2>Title</h2></header><p>{a}</p><![odd x]><p>End.</p></article><article class=comment><p>{a}</article></main>",
+    ],
+)
+def test_other_layouts(page):
+    assert html.main_text(page.format(a=ARTICLE)) == f"Title {ARTICLE.strip()} End."
+
+
+def test_references_and_white_space():
+    assert html.main_text("<article><p>a&amp;b &lt;i&gt; &#233;&eacute;&nbsp;\n x<b>y</b>z<br>w &copy</article>") == "a&b <i> éé xyz w ©"
+
+
+@pytest.mark.parametrize("page", ["", " \n", "<html></html>", "<article></article>", "<nav>x</nav>", "<!-- open", "<![CDATA[", "<"])
+def test_pages_without_text(page):
+    assert html.main_text(page) in ("", "<")
+
+
+def test_chunks_do_not_matter(monkeypatch):
+    page = "<article><p>one &amp; two</p><script>if (a < b) {}</script><p>" + ARTICLE * 50 + "</article><footer>f</footer>"
+    whole = html.main_text(page)
+    monkeypatch.setattr(html, "CHUNK", 7)
+    assert html.main_text(page) == whole
+
+
+def test_smoothing_and_threshold():
+    assert np.allclose(html.smooth(np.ones(9)), 1)
+    x = html.smooth(np.array([0, 0, 0, 1.0, 0, 0, 0]))
+    assert np.allclose(x, x[::-1]) and x.argmax() == 3
+    assert 10 < html.threshold(np.array([1.0, 2, 3, 50, 60])) < 50
+
+
+def test_nulls_and_empty_table(spark, tmp_path):
+    rows = [(1, "u", None, 1), (None, None, "<p>x", 2), (1, "u", None, 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text int").write.parquet(f"{tmp_path}/a/pages.parquet")
+    got = sorted(((r.page_id or 0), r.text, r.n_chars) for r in html.op7_html_extraction(spark, f"{tmp_path}/a").collect())
+    assert got == [(0, "x", 1), (1, "", 0), (1, "", 0)]
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/b/pages.parquet")
+    assert html.op7_html_extraction(spark, f"{tmp_path}/b").count() == 0
