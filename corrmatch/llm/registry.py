@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, gif, html, jaccard, langid, lm, packing
+from . import fingerprints, gif, jaccard, langid, lm, packing, pages, substrings
 
 _ALL = (
-    gif.op1_gif_media, packing.op2_best_fit_packing, jaccard.op6_ngram_jaccard, html.op7_html_extraction,
+    gif.op1_gif_media, packing.op2_best_fit_packing, substrings.op3_substring_dedup, jaccard.op6_ngram_jaccard, pages.op7_html_extraction,
     fingerprints.op8_weighted_sampling, lm.op9_lm_scoring, langid.op10_language_id,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from corrmatch.llm import html
+from corrmatch.llm import pages as html
 
 SF = "/root/testdata/sf0.01"
 
