@@ -6,13 +6,14 @@ i; t = floor(ln w / r + b), and the term with the least
 ln a = ln c - r (t - b) - r is the document's sample.  As ln a depends on the term, t
 and i alone, two documents share a sample if and only if they chose the same term at
 the same t, which happens with the probability of their generalised Jaccard
-similarity, sum(min w) / sum(max w).  Each sample is one 64-bit number (ln a in fixed
-point, and 16 bits of a hash of the choice), so a minimum of numbers finds it.
+similarity, sum(min w) / sum(max w).  Each sample is one 64-bit number, ln a in fixed
+point with 40 binary places, so a minimum of numbers finds it and equality compares it.
 
 Scale.  Texts are shuffled once, by ranges of doc_id, with the first document of
 each range as a guest of the range before it: a document then has its successor at
 hand.  The ranges come from approximate quantiles, ``RANGES`` at most.  Term counts and
-minima need no further exchange; only finished fingerprints are joined.
+minima need no further exchange; only finished fingerprints are joined.  Both sides of
+that join read the same columns, so that Spark runs the exchange of the texts once.
 
 Defined cases: null texts are empty; a text without words has one empty term, so such
 texts are alike; the documents follow each other by descending doc_id (null last),
@@ -32,6 +33,8 @@ SAMPLES = 32
 RANGE = 128
 RANGES = 4096
 _STEP = 64
+#: Stands for a null doc_id, below all others.
+_NULL = -(1 << 63)
 
 
 def _uniform(bits: str, n: int) -> str:
@@ -44,9 +47,8 @@ def _sample(i: int) -> Column:
     r = f"(-ln({_uniform(f'shiftrightunsigned({x}, 32)', 32)} * {_uniform(f'({x} & 4294967295)', 32)}))"
     c = f"(-ln({_uniform(f'shiftrightunsigned({y}, 40)', 24)} * {_uniform(f'(shiftrightunsigned({y}, 16) & 16777215)', 24)}))"
     b = _uniform(f"({y} & 65535)", 16)
-    t = f"floor(lw / {r} + {b})"
-    a = f"(ln({c}) - {r} * ({t} - {b}) - {r})"
-    return F.expr(f"min((cast({a} * 1099511627776D as bigint) & -65536L) | (xxhash64(h, {t}, {i}) & 65535L))")
+    a = f"(ln({c}) - {r} * (floor(lw / {r} + {b}) - {b} + 1D))"
+    return F.expr(f"min(cast({a} * 1099511627776D as bigint))")
 
 
 def _range_of(bounds: list[int]) -> Column:
@@ -64,7 +66,7 @@ def _range_of(bounds: list[int]) -> Column:
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows by range, numbered, each with its successor's text; and guest rows."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
+    docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_NULL)).alias("key"))
     ranges = max(1, min(RANGES, -(-docs.count() // RANGE)))
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = docs.select(F.percentile_approx("key", cuts, 20_000)).first()[0] if cuts else []
@@ -74,11 +76,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     if heads:
         above = [r for r, _ in heads[1:]] + [heads[0][0]]
         first = spark.range(1).select(F.inline(F.arrays_zip(F.lit([k for _, k in heads]).alias("key"), F.lit(above).alias("range"))))
-        guests = docs.drop("range", "guest").join(F.broadcast(first), "key").select("doc_id", "text", "key", "range", F.lit(True).alias("guest"))
+        guests = docs.drop("range", "guest").join(F.broadcast(first), "key").select("text", "key", "range", F.lit(True).alias("guest"))
         docs = docs.unionByName(guests)
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("text"))
     placed = docs.repartition(4 * partitions(spark), "range")
-    return placed.select("range", "guest", "doc_id", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next"))
+    return placed.select("range", "guest", "key", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next"))
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -102,7 +104,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     def shown(x: str) -> Column:
         return F.array_join(F.transform(x, lambda s: F.lpad(F.lower(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
-    described = rows.where("not guest").select("range", "at", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    described = rows.where("not guest").select("range", "at", F.nullif("key", F.lit(_NULL)).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     return described.join(
         prints.select("range", "at", shown("own").alias("fingerprint"), shown("new").alias("edited_fingerprint"), alike("own", "new").alias("near_edited"), alike("own", "next").alias("near_next")),
         ["range", "at"],
