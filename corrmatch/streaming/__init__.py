@@ -1,0 +1 @@
+"""No operator of the engine is a stream: every run compares two complete workspaces."""
