@@ -18,8 +18,8 @@ Scale.  Signatures travel as packed arrays, one row for a batch and a bucket, an
 equal sets of a batch only once.  In a bucket, sets that share a signature become
 candidates: all pairs of a small group, but of a large one only the pairs with its
 smallest member.  These are verified on the whole sets.  What is then still apart
-within a large group is compared in blocks, with a bound on the difference of two
-sets (differences of counts in 128 cells) before the exact test.  Copies meet as
+within the large groups of one smallest member is compared in blocks, with a bound on
+the difference of two sets (differences of counts in 128 cells) before the exact test.  Copies meet as
 one class, so a group of copies never multiplies.
 
 Defined cases: null and empty texts and texts without words have the empty set,
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import column, cut, documents, partitions, per_batch, texts_of
 from .components import components
-from .shingles import intersection, mix, shingle_set
+from .shingles import intersection, mix, shingle_sets
 
 #: Documents of which the signatures are made at a time.
 SLICE = 2_000
@@ -46,6 +46,10 @@ SMALL = 16
 #: Rows on each side of a block of a large group.
 BLOCK = 256
 CELLS = 128
+#: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
+BITMAP = 1 << 27
+#: Pairs around one set that are verified in one group, about.
+TOGETHER = 2_000
 _U = np.uint64
 
 
@@ -102,21 +106,30 @@ def _key(s: np.ndarray, salt: int) -> int:
     return int(mix(np.array([np.add.reduce(mix(s ^ _U(salt))) + _U(len(s))], _U)).view(np.int64)[0])
 
 
+def _sets(texts: list[str]):
+    for at in range(0, len(texts), SLICE):
+        yield from shingle_sets(texts[at : at + SLICE])
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit hash (k1, k2) of each set."""
+    """doc_id, n_shingles, a 128-bit hash (k1, k2) and the cell counts of each set."""
 
     def rows(batch):
-        found = [shingle_set(t) for t in texts_of(batch)]
-        return {"doc_id": column(batch, "doc_id"), "n_shingles": [len(s) for s in found], "k1": [_key(s, 0) for s in found], "k2": [_key(s, 12345) for s in found]}
+        out = {"n_shingles": [], "k1": [], "k2": [], "cells": []}
+        for s in _sets(texts_of(batch)):
+            cells = np.bincount((s & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for col, v in zip(out.values(), (len(s), _key(s, 0), _key(s, 12345), np.minimum(cells, 255).astype(np.uint8).tobytes())):
+                col.append(v)
+        return {"doc_id": column(batch, "doc_id"), **out}
 
-    return per_batch(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, k1 long, k2 long")
+    return per_batch(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, k1 long, k2 long, cells binary")
 
 
 def _signed(docs: DataFrame, buckets: int) -> DataFrame:
     def rows(batch):
         texts = texts_of(batch)
         for at in range(0, len(texts), SLICE):
-            own = {_key(s, 0): s for t in texts[at : at + SLICE] if len(s := shingle_set(t))}
+            own = {_key(s, 0): s for s in shingle_sets(texts[at : at + SLICE]) if len(s)}
             if not own:
                 continue
             keys = np.fromiter(own, np.int64, len(own))
@@ -134,9 +147,8 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
     return per_batch(docs.select("text"), rows, "bucket int, sigs binary, keys binary")
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Candidates of a bucket: (null, a, b), and of large groups (group, member, null)."""
-    bucket = table.column("bucket")[0].as_py()
+def _meet(table: pa.Table, small: int) -> pa.Table:
+    """Candidates of a bucket: (a, b, whether of a large group, a its smallest member)."""
     sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
     key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
     order = np.argsort(sig, kind="stable")
@@ -149,56 +161,94 @@ def _meet(table: pa.Table) -> pa.Table:
     fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))[: len(sig)]
     sig, key = sig[fresh], key[fresh]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True]))) if len(sig) else np.zeros(1, int)
-    pairs, groups, members = [], [], []
-    sizes = np.diff(starts)
-    for g in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+    sizes, pairs, stars = np.diff(starts), [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for g in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
         rows = key[starts[:-1][sizes == g][:, None] + np.arange(g)]
         i, j = np.triu_indices(g, 1)
         pairs.append(np.stack((rows[:, i].ravel(), rows[:, j].ravel()), 1))
-    for a in starts[:-1][sizes > SMALL]:
-        rows = key[a : a + int(sizes[np.searchsorted(starts, a)])]
-        pairs.append(np.stack((np.full(len(rows) - 1, rows[0]), rows[1:]), 1))
-        groups.append(np.full(len(rows), bucket << 32 | int(sig[a])))
-        members.append(rows)
-    two = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    none = pa.nulls(len(two), pa.int64())
-    group, member = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (groups, members))
-    return pa.table({
-        "grp": pa.concat_arrays([none, pa.array(group, pa.int64())]),
-        "a": pa.array(np.concatenate((two[:, 0], member)), pa.int64()),
-        "b": pa.concat_arrays([pa.array(two[:, 1], pa.int64()), pa.nulls(len(member), pa.int64())]),
-    })
-
-
-def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of the documents in ``ids`` (column id), with their cell counts."""
+    for a, n in zip(starts[:-1][sizes > small], sizes[sizes > small]):
+        stars.append(np.stack((np.full(n - 1, key[a]), key[a + 1 : a + n]), 1))
+    two, star = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(stars), axis=0)
+    both = np.concatenate((two, star))
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "large": pa.array(np.arange(len(both)) >= len(two))})
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the keys' (column key) residues; never more than ``BITMAP`` bits."""
+    n = keys.count()
+    bits = min(BITMAP, 1 << max(10, (32 * n).bit_length()))
+    at = keys.select(F.expr(f"pmod(key, {bits})").alias("at"))
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("x")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("x").to_numpy()
+    return out.view(_U)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, sets) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets have a similarity of 0.8 or more.
+
+    ``named`` has the key of each id, ``sets(batch, wanted)`` yields (key, set) of a
+    batch's rows that ``wanted`` (keys to a mask) lets through.  Texts are not
+    shuffled: each task passes on the few sets that a bitmap of the keys lets through.
+    Pairs meet their sets in groups; pairs around the same smallest neighbour go to
+    one group, so that a set travels once for many pairs, and more than ``TOGETHER``
+    of them to several.
+    """
+    spark = docs.sparkSession
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("a"), F.least("u", "v").alias("near"))
+    pairs = cut(pairs.join(least, "a"))
+    crowd = pairs.groupBy("near").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * partitions(spark)}) as int)")
+    pairs = cut(pairs.join(crowd, "near").select("a", "b", place.alias("grp")))
+    members = pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(named.select("key", "id"), "id")
+    members = cut(members)
+    bitmap = spark.sparkContext.broadcast(_bitmap(members.select("key").distinct()))
 
     def rows(batch):
-        found = [shingle_set(t) for t in texts_of(batch)]
-        cells = [np.minimum(np.bincount((s & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8) for s in found]
-        return {"id": column(batch, "doc_id"), "n": [len(s) for s in found], "cells": [c.tobytes() for c in cells], "hashes": [s.tobytes() for s in found]}
+        def wanted(keys: np.ndarray) -> np.ndarray:
+            at = keys & np.int64((len(bitmap.value) << 6) - 1)
+            return (bitmap.value[at >> 6] >> (at & 63).astype(_U) & _U(1)).astype(bool)
+
+        for found in sets(batch, wanted):
+            yield {"key": list(found), "hashes": [s.tobytes() for s in found.values()]}
+
+    def exact(own: pa.Table, held: pa.Table) -> pa.Table:
+        known = {i: np.frombuffer(h, _U) for i, h in zip(held.column("id").to_pylist(), held.column("hashes").to_pylist())}
+        ok = []
+        for x, y in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
+            x, y = known[x], known[y]
+            shared = intersection(x, y)
+            ok.append(100 * shared >= 80 * (len(x) + len(y) - shared))
+        return own.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    held = per_batch(docs, rows, "key long, hashes binary").join(members, "key").select(F.col("grp").alias("place"), "id", "hashes")
+    return cut(pairs.groupBy("grp").cogroup(held.groupBy("place")).applyInArrow(exact, "a long, b long"))
 
-    wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return per_batch(wanted.select("doc_id", "text"), rows, "id long, n long, cells binary, hashes binary")
 
+def _sets_of_keys(batch: pa.RecordBatch, wanted):
+    texts = texts_of(batch)
+    for at in range(0, len(texts), SLICE):
+        own = {_key(s, 0): s for s in shingle_sets(texts[at : at + SLICE]) if len(s)}
+        ok = wanted(np.fromiter(own, np.int64, len(own))).tolist()
+        yield {k: s for (k, s), keep in zip(own.items(), ok) if keep}
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a similarity of 0.8 or more."""
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and cell counts (na, ca, nb, cb) allow a link."""
 
     def rows(batch):
-        a, b = ([np.frombuffer(x, _U) for x in column(batch, c).to_pylist()] for c in ("ha", "hb"))
-        ok = []
-        for x, y in zip(a, b):
-            both = intersection(x, y)
-            ok.append(100 * both >= 80 * (len(x) + len(y) - both))
-        keep = pa.array(ok, pa.bool_())
+        n = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
+        a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("ca", "cb"))
+        keep = pa.array(9 * np.abs(a - b).sum(1) <= n)
         return {"a": column(batch, "a").filter(keep), "b": column(batch, "b").filter(keep)}
 
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(two.select("b", "nb"), "b")
-    near = near.where("100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b")
-    return per_batch(near.join(one, "a").join(two, "b").select("a", "b", "ha", "hb"), rows, "a long, b long")
+    near = pairs.where("100 * least(na, nb) >= 80 * greatest(na, nb)")
+    return per_batch(near.select("a", "b", "na", "nb", "ca", "cb"), rows, "a long, b long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    return _verified(docs.select("text"), pairs, named, _sets_of_keys)
 
 
 def _blocks(table: pa.Table) -> pa.Table:
@@ -219,11 +269,11 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(two.min(1), pa.int64()), "b": pa.array(two.max(1), pa.int64())})
 
 
-def _rest(groups: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest(groups: DataFrame, named: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Pairs of large groups whose members the links so far do not connect."""
-    rows = groups.join(sets.select("id", "n", "cells"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    rows = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = rows.join(open_.select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb")), "grp")
+    rows = rows.join(open_.select("grp", F.ceil(F.col("size") / block).cast("int").alias("nb")), "grp").join(named.select("id", "n", "cells"), "id")
     rows = rows.withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
     rows = rows.select(
         "grp", "id", "n", "cells", "label", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
@@ -232,7 +282,7 @@ def _rest(groups: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "x", "y").applyInArrow(_blocks, "a long, b long").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of every row of ``docs``.
 
     ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
@@ -241,22 +291,32 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     table = cut(sets_of(docs))
-    classes = cut(table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    met = cut(_signed(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(_meet, "grp long, a long, b long"))
-    pairs, large = met.where("grp is null").select("a", "b").distinct(), met.where("grp is not null")
-    named = classes.select(F.col("k1").alias("key"), F.col("class_id").alias("id"))
-    groups = cut(large.select("grp", F.col("a").alias("key")).join(named, "key").select("grp", "id"))
-    pairs = pairs.join(named.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(named.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b")
-    pairs = cut(pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a < b").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_whole_sets(docs, ids))
-    links = cut(_linked(pairs, sets))
-    more = _rest(groups, sets, components(links))
-    links = cut(links.unionByName(_linked(more, sets)))
+    classes = cut(table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("cells").alias("cells")))
+    table, named = table.drop("cells"), classes.select(F.col("k1").alias("key"), F.col("class_id").alias("id"), "n", "cells")
+    met = cut(_signed(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, large boolean"))
+    pairs, stars = met.select("a", "b").distinct(), met.where("large").select("a", "b").distinct()
+    # members of large groups, by the key of their smallest member
+    groups = stars.select(F.col("a").alias("grp"), F.col("b").alias("key")).unionByName(stars.select(F.col("a").alias("grp"), F.col("a").alias("key")).distinct())
+    groups = cut(groups.join(named.select("key", "id"), "key").select("grp", "id"))
+    pairs = pairs.join(named.toDF("a", "ia", "na", "ca"), "a").join(named.toDF("b", "ib", "nb", "cb"), "b")
+    pairs = pairs.drop("a", "b").where("ia <> ib").withColumns({"a": F.least("ia", "ib"), "b": F.greatest("ia", "ib")})
+    links = _linked(cut(_possible(pairs).distinct()), docs, named)
+    more = cut(_rest(groups, named, components(links), block))
+    if not more.isEmpty():
+        links = links.unionByName(_linked(more, docs, named))
     names = components(links).select(F.col("id").alias("class_id"), "component")
-    rows = table.join(classes, ["k1", "k2"], "left").join(names, "class_id", "left")
+    rows = table.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left").join(names, "class_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that links connect to a smaller doc_id.
+
+    Rows of one doc_id are one document; null doc_ids stay.
+    """
+    gone = join(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

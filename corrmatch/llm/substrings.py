@@ -32,13 +32,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, documents, partitions, per_batch, texts_of
 from .components import components
-from .jaccard import _bitmap
-from .shingles import SIZE, hashes, intersection, joined, mix
+from .jaccard import _bitmap, _verified
+from .shingles import SIZE, hashed, joined, mix
 
 PARAGRAPH = 20
 RUN = 30
@@ -73,24 +74,19 @@ class Units:
     """Units of some texts: paragraphs with signatures, and pairs of cuts."""
 
     def __init__(self, texts: list[str]):
-        lines = [[line.split() for line in t.encode("utf-8", "surrogatepass").lower().split(b"\n")] for t in texts]
-        per_line = np.array([len(w) for doc in lines for w in doc], np.int64)
-        n_lines = np.array([len(doc) for doc in lines], np.int64)
-        h = np.concatenate([np.zeros(0, _U), *(hashes(w) for doc in lines for w in doc if w)])
-        line_doc = np.repeat(np.arange(len(texts)), n_lines)
-        line_at = np.concatenate(([0], np.cumsum(per_line)))
-        sizes = np.bincount(line_doc, per_line, len(texts)).astype(np.int64)
+        h, doc, line = hashed(texts)
+        sizes = np.bincount(doc, minlength=len(texts))
         doc_at = np.concatenate(([0], np.cumsum(sizes)))
         # paragraphs
-        long_ = per_line >= PARAGRAPH
-        line = np.repeat(np.arange(len(per_line)), per_line)
+        at = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+        long_ = np.diff(at) >= PARAGRAPH
         self.sets = np.zeros(0, _U)
         self.set_at = np.zeros(1, np.int64)
         self.signatures = np.zeros((0, BANDS), _U)
-        first, last = line_at[:-1][long_], line_at[1:][long_]
+        first, last = at[:-1][long_], at[1:][long_]
         if len(first):
             all_ = joined(h)
-            ok = long_[line[: len(all_)]] & (line[: len(all_)] == line[SIZE - 1 :])
+            ok = np.repeat(long_, np.diff(at))[: len(all_)] & (line[: len(all_)] == line[SIZE - 1 :])
             self.sets = all_[ok]
             counts = last - first - SIZE + 1
             self.set_at = np.concatenate(([0], np.cumsum(counts)))
@@ -106,7 +102,6 @@ class Units:
         self.paragraphs = len(first)
         # cuts: words whose hash exceeds those of the words nearby
         top = mix(h + _U(77))
-        doc = np.repeat(np.arange(len(texts)), sizes)
         peak = np.ones(len(h), bool)
         for d in range(1, REACH + 1):
             near = doc[d:] == doc[:-d]
@@ -120,7 +115,7 @@ class Units:
         total = np.concatenate((np.zeros(1, _U), np.cumsum(two, dtype=_U)))
         cuts = mix(total[b - 1] - total[a] + mix(h[a] + _U(5)) + (b - a).astype(_U) * _A) if len(a) else np.zeros(0, _U)
         self.keys = np.concatenate((key, cuts)).view(np.int64)
-        self.doc = np.concatenate((line_doc[long_], doc[a])).astype(np.int64)
+        self.doc = np.concatenate((doc[first], doc[a])).astype(np.int64)
         begin, end = np.concatenate((first, a)), np.concatenate((last, b))
         self.begin, self.end = begin - doc_at[self.doc], end - doc_at[self.doc]
 
@@ -155,7 +150,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _shared(table: pa.Table, band: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, value) of keys with two values or more, and where keys begin."""
-    mine = table.filter(table.column("band") if band else pa.compute.invert(table.column("band")))
+    mine = table.filter(table.column("band") if band else pc.invert(table.column("band")))
     key, value = (np.frombuffer(b"".join(mine.column(n).to_pylist()), np.int64) for n in ("keys", "values"))
     order = np.argsort(key, kind="stable")
     key, value = key[order], value[order]
@@ -195,32 +190,16 @@ def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 6] >> (place & 63).astype(_U) & _U(1)).astype(bool)
 
 
+def _sets_of_classes(batch: pa.RecordBatch, wanted):
+    for _, u in _slices(batch):
+        keys = u.keys[: u.paragraphs]
+        yield {int(keys[i]): np.unique(u.sets[u.set_at[i] : u.set_at[i + 1]]) for i in np.flatnonzero(wanted(keys))}
+
+
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs of classes whose shingles have a similarity of 0.8 or more."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-
-    def sets(batch):
-        own = {}
-        for _, u in _slices(batch):
-            keys = u.keys[: u.paragraphs]
-            for i in np.flatnonzero(_passes(shared.value, keys)):
-                own[int(keys[i])] = np.unique(u.sets[u.set_at[i] : u.set_at[i + 1]]).tobytes()
-        return {"key": list(own), "hashes": list(own.values())}
-
-    def exact(batch):
-        a, b = (column(batch, c).to_pylist() for c in ("ha", "hb"))
-        ok = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = intersection(x, y)
-            ok.append(100 * both >= 80 * (len(x) + len(y) - both))
-        keep = pa.array(ok, pa.bool_())
-        return {"a": column(batch, "a").filter(keep), "b": column(batch, "b").filter(keep)}
-
-    found = cut(per_batch(docs.select("doc_id", "text"), sets, "key long, hashes binary").join(ids, "key").dropDuplicates(["key"]))
-    whole = pairs.join(found.toDF("a", "ha"), "a").join(found.toDF("b", "hb"), "b")
-    return cut(per_batch(whole.select("a", "b", "ha", "hb"), exact, "a long, b long"))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return _verified(docs, pairs, keys.select("id", F.col("id").alias("key")), _sets_of_classes)
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from corrmatch.llm import jaccard
+from corrmatch.llm.common import documents
 from corrmatch.llm.components import components
 
 
@@ -36,9 +37,9 @@ def brute(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def run(spark, rows, tmp_path):
+def run(spark, rows, tmp_path, **sizes):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op6_ngram_jaccard(spark, str(tmp_path)).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(spark, str(tmp_path)), **sizes).collect()}
 
 
 def corpus(seed):
@@ -65,11 +66,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_agree_with_all_pairs(spark, tmp_path, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 4)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+def test_components_agree_with_all_pairs(spark, tmp_path, seed):
     rows = corpus(seed)
-    assert run(spark, rows, tmp_path) == brute(rows)
+    assert run(spark, rows, tmp_path, small=4, block=16) == brute(rows)
 
 
 def test_clashing_columns_and_no_rows(spark, tmp_path):
