@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,11 +190,31 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return per_batch(docs.select("doc_id", "held_out", "text"), rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is known with some certainty.
+
+    Rows that are ``und`` or have a score below ``least`` go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = (shared.value.predict(t) for t in texts_of(batch))
+            yield batch.filter(pa.array([lang != UND and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Learn from the rows whose fold is not 0 and predict all rows."""
     docs = _fold(docs.select("doc_id", "text", "lang"), folds)
     return predict(docs, train(docs.where("not held_out")))
 
 
+def trained(docs: DataFrame, folds: int = 5) -> Model:
+    """The model that ``identify`` learns."""
+    return train(_fold(docs.select("doc_id", "text", "lang"), folds).where("not held_out"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
