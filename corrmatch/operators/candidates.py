@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import NAME_SIMILARITY
 from ..functions import similarity, text
+from .resolve import cut
 
 #: Longer stems are compared by length and letters only after this many equal ones met.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_-."
@@ -111,12 +112,21 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) ->
     each extension that it meets.
     """
     ext = left.select(F.col("ord").alias("l_ord"), F.col("extension").alias("ext"), F.col("text").alias("l_text"))
-    pairs = pairs.join(ext.select("l_ord", "ext"), "l_ord")
-    one = ext.join(pairs.select("l_ord").distinct(), "l_ord", "left_semi").select("l_ord", similarity.featurise("l_text", "ext").alias("a"))
+    pairs = cut(pairs.join(ext.select("l_ord", "ext"), "l_ord"))
+    one = cut(ext.join(pairs.select("l_ord").distinct(), "l_ord", "left_semi").select("l_ord", similarity.featurise("l_text", "ext").alias("a")))
     met = pairs.select("r_ord", "ext").distinct().join(right.select(F.col("ord").alias("r_ord"), F.col("text").alias("r_text")), "r_ord")
-    two = met.select("r_ord", "ext", similarity.featurise("r_text", "ext").alias("b"))
-    both = pairs.join(one, "l_ord").join(two, ["r_ord", "ext"])
-    # a pair above its length bound cannot reach the threshold: no function call for it
+    two = cut(met.select("r_ord", "ext", similarity.featurise("r_text", "ext").alias("b")))
+
+    def short(s: str):
+        return [F.xxhash64(f"{s}.form").alias(f"{s}_form"), F.size(f"{s}.tokens").alias(f"{s}_n"), F.size(f"{s}.ids").alias(f"{s}_k"), F.col(f"{s}.filled").alias(f"{s}_filled")]
+
+    # counts are short; whole features travel only for pairs that counts allow
+    near = pairs.join(one.select("l_ord", *short("a")), "l_ord").join(two.select("r_ord", "ext", *short("b")), ["r_ord", "ext"])
+    tokens = similarity.length_bound(F.col("a_n"), F.greatest(F.col("b_n"), F.lit(1)))
+    names = 100.0 * F.least("a_k", "b_k") / F.greatest("a_k", "b_k")
+    blend = F.when((F.col("a_k") > 0) & (F.col("b_k") > 0), similarity.TOKEN_SHARE * tokens + similarity.IDENTIFIER_SHARE * names).otherwise(tokens)
+    near = near.where((F.col("a_form") == F.col("b_form")) | ~F.col("a_filled") | ~F.col("b_filled") | (blend + 0.01 >= least)).select(*pairs.columns)
+    both = near.join(one, "l_ord").join(two, ["r_ord", "ext"])
     return both.withColumn("sim", similarity.content_similarity(least)("a", "b")).where("sim is not null").drop("a", "b", "ext")
 
 
