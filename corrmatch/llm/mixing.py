@@ -115,9 +115,14 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = N
     return out.withColumn("_probability", p).withColumn("_kept", draw("doc_id", seed) < F.col("_probability"))
 
 
+OWN = ("_topic", "_words", "_weight", "_probability", "_kept", *[f"_c_{d}" for d in DIMENSIONS])
+
+
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The kept rows of ``docs``, with its columns."""
-    return mix(docs, **how).where("_kept").select(docs.columns)
+    """The kept rows of ``docs``, with its columns, whatever their names."""
+    names = {c: f"__{i}" if c in OWN else c for i, c in enumerate(docs.columns)}
+    rows = mix(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), **how).where("_kept")
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

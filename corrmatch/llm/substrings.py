@@ -275,16 +275,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay; a text may become empty.
     """
-    removed = repeats(docs).where("removed").groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = docs.join(removed, docs["doc_id"].eqNullSafe(removed["own"]), "left").drop("own")
+    spans = repeats(docs).where("removed").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__own"]), "left")
 
     @F.pandas_udf("string")
     def clean(text, spans):
-        return text.combine(spans, lambda t, s: t if s is None or not len(s) or t is None else without(t, [(x["begin"], x["end"]) for x in s]))
+        return text.combine(spans, lambda t, s: without(t, [(x["begin"], x["end"]) for x in s]) if s is not None and len(s) and t is not None else t)
 
-    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean("text", "spans"))).drop("spans")
+    cut_out = spans["__spans"].isNotNull()
+    text = F.when(cut_out, clean(docs["text"], spans["__spans"])).otherwise(docs["text"])
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(cut_out, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
     return rows.select(docs.columns)
 
 

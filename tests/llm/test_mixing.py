@@ -38,7 +38,9 @@ def test_raked_shares_meet_the_targets(spark):
 def test_kept_words_meet_the_targets_and_nothing_runs_python(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["en", "en", "en", "de"]), rng.choice(["a", "a", "a", "a", "b"]), "old", 5) for i in range(6000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _t string, share int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _kept string, share int")
+    assert mixing.sample(docs, targets={"source": 1.0, "lang": 1.0, "topic": 1.0}).where("_kept = 'old'").count() == 6000
+    docs = docs.withColumnRenamed("_kept", "_t")
     got = mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": 1.0})
     plan = got._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Pandas", "ArrowEval"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corrmatch.llm import substrings as sub
 from corrmatch.llm.common import documents
@@ -12,7 +13,7 @@ def words(rng, n):
 
 
 def run(spark, rows, path):
-    spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, n_chars long, removed string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, n_chars long, removed string").withColumn("spans", F.lit(1)).withColumn("own", F.lit(2)).repartition(3).write.parquet(f"{path}/documents.parquet")
     return sub.op3_substring_dedup(spark, str(path)).collect()
 
 
