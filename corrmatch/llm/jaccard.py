@@ -44,11 +44,11 @@ SLICE = 2_000
 #: Larger groups give pairs with their smallest member first.
 SMALL = 16
 #: Rows on each side of a block of a large group.
-BLOCK = 256
+BLOCK = 2_048
 CELLS = 128
 #: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
 BITMAP = 1 << 27
-#: Pairs around one set that are verified in one group, about.
+#: Sets of one neighbourhood that are verified in one group, about.
 TOGETHER = 2_000
 _U = np.uint64
 
@@ -190,15 +190,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, sets) -> Data
     ``named`` has the key of each id, ``sets(batch, wanted)`` yields (key, set) of a
     batch's rows that ``wanted`` (keys to a mask) lets through.  Texts are not
     shuffled: each task passes on the few sets that a bitmap of the keys lets through.
-    Pairs meet their sets in groups; pairs around the same smallest neighbour go to
-    one group, so that a set travels once for many pairs, and more than ``TOGETHER``
-    of them to several.
+    Pairs meet their sets in groups.  Those of one neighbourhood (three steps toward the
+    smallest id) go to one group, so that a set travels once for many pairs; a
+    neighbourhood of more than ``TOGETHER`` sets is divided.
     """
     spark = docs.sparkSession
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("a"), F.least("u", "v").alias("near"))
-    pairs = cut(pairs.join(least, "a"))
-    crowd = pairs.groupBy("near").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    label = both.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("near"))
+    for _ in range(2):
+        step = both.join(label.select(F.col("u").alias("v"), "near"), "v").groupBy("u").agg(F.min("near").alias("near"))
+        label = cut(step)
+    pairs = cut(pairs.join(label.select(F.col("u").alias("a"), "near"), "a"))
+    crowd = pairs.groupBy("near").agg(F.ceil(F.approx_count_distinct("b") / TOGETHER).alias("parts"))
     place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * partitions(spark)}) as int)")
     pairs = cut(pairs.join(crowd, "near").select("a", "b", place.alias("grp")))
     members = pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(named.select("key", "id"), "id")
@@ -252,21 +255,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _blocks(table: pa.Table) -> pa.Table:
-    """Pairs of a block that are apart so far and may be similar by size and cells."""
+    """Pairs of a block that are apart so far and may be similar by size and cells.
+
+    Two sets may meet in the groups of several leaders; that of the smallest counts.
+    """
     get = lambda c: table.column(c).combine_chunks()
     ids, n, label, side = (get(c).to_numpy() for c in ("id", "n", "label", "side"))
     cells = np.frombuffer(b"".join(get("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    leaders = [frozenset(x) for x in get("leaders").to_pylist()]
+    leader = table.column("grp")[0].as_py()
     diagonal = bool(table.column("diagonal")[0].as_py())
     left, right = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    order = right[np.argsort(n[right], kind="stable")]
+    sizes = n[order]
     out = []
-    for i in left:
-        near = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= 80 * np.maximum(n[right], n[i]))]
+    for i in left:  # only sizes that allow a link are looked at
+        lo, hi = np.searchsorted(sizes, (80 * n[i] + 99) // 100), np.searchsorted(sizes, 100 * n[i] // 80, "right")
+        near = order[lo:hi]
+        near = near[label[near] != label[i]]
         near = near[ids[near] > ids[i]] if diagonal else near
-        apart = np.abs(cells[near] - cells[i]).sum(1)
-        near = near[9 * apart <= n[near] + n[i]]
-        out.append(np.stack((np.full(len(near), ids[i]), ids[near]), 1))
-    two = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(two.min(1), pa.int64()), "b": pa.array(two.max(1), pa.int64())})
+        near = near[9 * np.abs(cells[near] - cells[i]).sum(1) <= n[near] + n[i]]
+        out += [(ids[i], ids[j]) for j in near.tolist() if min(leaders[i] & leaders[j]) == leader]
+    two = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(two.min(1) if len(two) else two[:, 0], pa.int64()), "b": pa.array(two.max(1) if len(two) else two[:, 1], pa.int64())})
 
 
 def _rest(groups: DataFrame, named: DataFrame, labels: DataFrame, block: int) -> DataFrame:
@@ -274,9 +285,10 @@ def _rest(groups: DataFrame, named: DataFrame, labels: DataFrame, block: int) ->
     rows = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     rows = rows.join(open_.select("grp", F.ceil(F.col("size") / block).cast("int").alias("nb")), "grp").join(named.select("id", "n", "cells"), "id")
+    rows = rows.join(groups.groupBy("id").agg(F.collect_set("grp").alias("leaders")), "id")
     rows = rows.withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
     rows = rows.select(
-        "grp", "id", "n", "cells", "label", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
+        "grp", "id", "n", "cells", "label", "leaders", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
         F.expr("if(i <= j, 0, 1)").alias("side"), F.expr("i = j").alias("diagonal"),
     )
     return rows.groupBy("grp", "x", "y").applyInArrow(_blocks, "a long, b long").distinct()
