@@ -1,27 +1,50 @@
 """Token ids of whole texts by the public word-level BPE file.
 
 ``Encoder.ids`` gives the ids that the ``tokenizers`` library gives, several times
-faster: words between white space repeat, and the ids of a word do not depend on
-its neighbours, so a bounded table keeps them and only new words go to the library.
+faster: the pieces that it cuts texts into repeat, and the ids of a piece do not depend
+on its neighbours, so a bounded table keeps them and only new pieces go to the library.
+The table has two halves: when the newer one is full it becomes the older one, from
+which pieces that are met again come back.
 Texts with characters outside printable Latin-1 or with a special token's string go
 to the library whole, as its normaliser looks across words there.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-KEEP = 500_000
+#: Pieces whose ids a worker keeps in either half of its table.
+KEEP = 400_000
 END = 0
-_ODD = re.compile("[^\t-\r -~\xa0-\xff]|<\\|")
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(160, 256)])
 # the file's own way of cutting words, for lower-case Latin-1
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def _byte_level() -> str:
+    """The byte-level form of each byte, white space aside.
+
+    Bytes that print stand for themselves, the others for U+0100 and up in order.
+    """
+    shown = {32, *range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter([*range(256, 288), *range(289, 512)])
+    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
+
+
+_FORM = _byte_level()
+
+
+def _odd(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1").translate(None, _PLAIN)) or "<|" in text
+    except UnicodeEncodeError:
+        return True
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -34,38 +57,38 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        # pieces are lower case and cut already: only the merges are left to do
+        # pieces are cut and in byte-level form already: only the merges are left to do
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = None
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Add the ids of new words to the table."""
-        cuts = [_PIECE.findall(w) for w in words]
-        pieces = list({p for cut in cuts for p in cut})
-        ids: dict[str, bytes] = {}
+    def _learn(self, pieces: list[str]) -> None:
+        """Add the ids of new pieces to the table."""
         for at in range(0, len(pieces), 256):
             part = pieces[at : at + 256]
-            got = self.merges.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw, ends = np.array(got.ids, "<u4").tobytes(), np.cumsum(np.bincount(np.array(got.word_ids), minlength=len(part))) * 4
-            ids.update(zip(part, (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
-        find = ids.__getitem__
-        self.known.update((w, b"".join(map(find, cut))) for w, cut in zip(words, cuts))
+            got = self.merges.encode(codecs.charmap_decode(" ".join(part).encode(), "strict", _FORM)[0], add_special_tokens=False)
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (np.cumsum(np.bincount(np.array(got.word_ids), minlength=len(part))) * 4).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        known, out = self.known, []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            if len(known) > KEEP:
-                known.clear()
-            whole = {i: np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(part) if _ODD.search(t)}
-            split = [() if i in whole else t.lower().split() for i, t in enumerate(part)]
-            new = {w for words in split for w in words if w not in known}
+        out = []
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            if len(self.known) > KEEP:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            whole = {i: np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(part) if _odd(t)}
+            split = [() if i in whole else _PIECE.findall(t.lower()) for i, t in enumerate(part)]
+            new = set().union(*split).difference(known)
+            if again := [p for p in new if p in older]:
+                known.update((p, older[p]) for p in again)
+                new.difference_update(again)
             if new:
                 self._learn(list(new))
-            out += [whole[i] if i in whole else np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for i, words in enumerate(split)]
+            out += [whole[i] if i in whole else np.frombuffer(b"".join(map(known.__getitem__, cut)), "<u4") for i, cut in enumerate(split)]
         return out
 
 
