@@ -12,8 +12,9 @@ then ``LENGTH`` little-endian ids of 16 bits (32 for larger vocabularies), with
 beyond the length.
 
 Scale.  Tokens are written once, to the shared folder, with running numbers; counts by
-partition (a few numbers for each) give the offsets.  One shuffle by shard follows; a
-task holds one shard at a time.  Shards are written whole under a temporary name and
+partition (a few numbers for each) give the offsets.  One shuffle by shard follows, in
+which the records of a batch travel as one compressed block for each shard; a task
+holds one shard at a time.  Shards are written whole under a temporary name and
 renamed, so a task that is repeated after a lost executor writes the same file again.
 The folder is opened by ``pyarrow.fs``: a file, HDFS or object-store address.
 
@@ -29,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -100,19 +102,15 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:09d}.bin"
 
 
-def _writer(folder: str, n: int, length: int, rows: int, kind: str):
+def _writer(folder: str, n: int, length: int, rows: int, kind: str, key: int):
     form = record(length, kind)
 
     def write(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         out = np.zeros(min(rows, n - shard * rows), form)
-        slot, ids = table.column("slot").to_numpy() - shard * rows, table.column("ids").to_pylist()
-        out["doc_id"][slot] = table.column("doc_id").combine_chunks().fill_null(_NULL).to_numpy()
-        out["piece"][slot] = table.column("piece").to_numpy()
-        for at, x in zip(slot.tolist(), ids):
-            x = np.frombuffer(x, kind)
-            out["length"][at] = len(x)
-            out["ids"][at, : len(x)] = x
+        unpack = zstandard.ZstdDecompressor().decompress
+        for slots, records in zip(table.column("slots").to_pylist(), table.column("records").to_pylist()):
+            out[np.frombuffer(slots, np.int64) - shard * rows] = np.frombuffer(unpack(records), form)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         name, part = f"{base}/{shard_name(shard)}", f"{base}/.{shard_name(shard)}.{uuid.uuid4().hex}"
@@ -120,11 +118,13 @@ def _writer(folder: str, n: int, length: int, rows: int, kind: str):
             f.write(out.tobytes())
         store.move(part, name)
         with store.open_input_stream(name) as f:  # the rest describes what is stored
-            back = np.frombuffer(f.read(), form)[slot]
+            back = np.frombuffer(f.read(), form)
+        slot = np.arange(len(back)) + shard * rows
         put = {
-            "doc_id": table.column("doc_id"), "piece": pa.array(back["piece"]), "start": pa.array(back["piece"].astype(np.int64) * length), "length": pa.array(back["length"]),
-            "ids_crc32": pa.array([zlib.crc32(r["ids"][: r["length"]].astype("<u4").tobytes()) for r in back], pa.int64()), "number": table.column("number"),
-            "slot": table.column("slot"), "shard": table.column("shard"), "byte_offset": pa.array(slot * form.itemsize), "record_crc32": pa.array([zlib.crc32(r.tobytes()) for r in back], pa.int64()),
+            "doc_id": pa.array(back["doc_id"], mask=back["doc_id"] == _NULL), "piece": pa.array(back["piece"]), "start": pa.array(back["piece"].astype(np.int64) * length), "length": pa.array(back["length"]),
+            "ids_crc32": pa.array([zlib.crc32(r["ids"][: r["length"]].astype("<u4").tobytes()) for r in back], pa.int64()), "number": pa.array(permute(slot, n, key, inverse=True)),
+            "slot": pa.array(slot), "shard": pa.array(np.full(len(back), shard)), "byte_offset": pa.array(np.arange(len(back)) * form.itemsize),
+            "record_crc32": pa.array([zlib.crc32(r.tobytes()) for r in back], pa.int64()),
         }
         return pa.table(put)
 
@@ -142,24 +142,34 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, length: i
     counts = sorted((r.part, r.n) for r in held.groupBy("part").agg(F.sum("n").alias("n")).collect())
     n = sum(c for _, c in counts)
     offsets = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)]).tolist()))
-    shared = spark.sparkContext.broadcast(offsets)
+    shared, form = spark.sparkContext.broadcast(offsets), record(length, kind)
 
     def cut_up(batch):
         count = column(batch, "n").to_numpy()
         base = np.array([shared.value[p] for p in column(batch, "part").to_pylist()], np.int64) + column(batch, "start").to_numpy()
         owner = np.repeat(np.arange(len(count)), count)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        number = base[owner] + piece
-        slot = permute(number, n, key)
-        width = length * np.dtype(kind).itemsize
-        ids = column(batch, "ids").to_pylist()
+        slot = permute(base[owner] + piece, n, key)
+        out = np.zeros(len(slot), form)
+        out["doc_id"], out["piece"] = column(batch, "doc_id").fill_null(_NULL).to_numpy()[owner], piece
+        at = 0
+        for x, c in zip(column(batch, "ids").to_pylist(), count.tolist()):
+            x = np.frombuffer(x, kind)
+            out["ids"][at : at + c] = np.pad(x, (0, c * length - len(x))).reshape(c, length)
+            out["length"][at : at + c] = length
+            out["length"][at + c - 1] = len(x) - (c - 1) * length
+            at += c
+        order = np.argsort(slot, kind="stable")
+        slot, out = slot[order], out[order]
+        cuts = np.flatnonzero(np.concatenate(([True], slot[1:] // rows != slot[:-1] // rows, [True])))
+        pack = zstandard.ZstdCompressor(1).compress
         return {
-            "shard": slot // rows, "slot": slot, "number": number, "doc_id": column(batch, "doc_id").take(pa.array(owner)), "piece": piece.astype(np.int32),
-            "ids": [ids[o][p * width : (p + 1) * width] for o, p in zip(owner.tolist(), piece.tolist())],
+            "shard": slot[cuts[:-1]] // rows, "slots": [slot[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
+            "records": [pack(out[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])],
         }
 
-    cut_rows = per_batch(held, cut_up, "shard long, slot long, number long, doc_id long, piece int, ids binary")
-    return cut_rows.groupBy("shard").applyInArrow(_writer(folder, n, length, rows, kind), PLACED)
+    blocks = per_batch(held, cut_up, "shard long, slots binary, records binary")
+    return blocks.groupBy("shard").applyInArrow(_writer(folder, n, length, rows, kind, key), PLACED)
 
 
 def read(folder: str, slot: int, count: int, length: int = LENGTH, rows: int = SHARD, kind: str = "<u2") -> np.ndarray:
