@@ -27,17 +27,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, cut, documents, partitions, per_batch, texts_of
-from .shingles import hashes, mix, words
+from .shingles import hashed, mix
 
 BITS = 7
 PROBES = 4
 PART = 96 << 20
-MU = 5_000.0
-SLICE = 4_000
+MU = 500.0
+SLICE = 8_000
 LEVELS = 40
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _U = np.uint64
@@ -46,20 +47,29 @@ _H = np.uint64(0x9E3779B97F4A7C15)
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The token hashes of all texts, each with its end, and the texts' lengths."""
-    found = [hashes(words(t)) for t in texts]
-    n = np.array([len(f) + 1 for f in found], np.int64)
-    out = np.full(int(n.sum()), END, _U)
-    at = 0
-    for f in found:
-        out[at : at + len(f)] = f
-        at += len(f) + 1
-    return out, n
+    h, text, _ = hashed(texts)
+    out = np.full(len(h) + len(texts), END, _U)
+    out[np.arange(len(h)) + text] = h
+    return out, np.bincount(text, minlength=len(texts)) + 1
 
 
 def _bigrams(tokens: np.ndarray) -> np.ndarray:
-    """The hash of each token after the one before it; texts follow an end."""
+    """A 48-bit hash of each token after the one before it; texts follow an end."""
     before = np.concatenate(([END], tokens[:-1])).astype(_U)
-    return mix(before * _H + tokens)
+    return mix(before * _H + tokens) >> _U(16)
+
+
+def _sent(h: np.ndarray, bigram: bool) -> bytes:
+    """Hashes as they travel: those of bigrams in six bytes."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() if bigram else h.tobytes()
+
+
+def _received(data: bytes, bigram: bool) -> np.ndarray:
+    if not bigram:
+        return np.frombuffer(data, _U)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _dealt(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +90,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
                 h, c = h[order], c[order].astype(np.int64)
                 for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
-                    for col, v in zip(out.values(), (b, bigram, h[part].tobytes(), c[part].tobytes())):
+                    for col, v in zip(out.values(), (b, bigram, _sent(h[part], bigram), c[part].tobytes())):
                         col.append(v)
             yield out
 
@@ -88,8 +98,8 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _summed(table: pa.Table, bigram: bool) -> tuple[np.ndarray, np.ndarray]:
-    mine = table.filter(table.column("bigram") if bigram else pa.compute.invert(table.column("bigram")))
-    h, c = (np.frombuffer(b"".join(mine.column(n).to_pylist()), t) for n, t in (("hashes", _U), ("counts", np.int64)))
+    mine = table.filter(table.column("bigram") if bigram else pc.invert(table.column("bigram")))
+    h, c = _received(b"".join(mine.column("hashes").to_pylist()), bigram), np.frombuffer(b"".join(mine.column("counts").to_pylist()), np.int64)
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
@@ -154,7 +164,8 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
     """The distinct words of each slot, by the bucket that knows their counts."""
 
     def ask(table: pa.Table) -> pa.Table:
-        h = np.unique(np.concatenate([hashes(words(t or "")) for t in table.column("text").to_pylist()] + [np.array([END], _U)]))
+        texts = [t or "" for t in table.column("text").to_pylist()]
+        h = np.unique(np.append(hashed(texts)[0], END))
         order, cuts = _dealt(h, buckets)
         h = h[order]
         used = np.flatnonzero(np.diff(cuts))
@@ -164,7 +175,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
             "hashes": pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
         })
 
-    return docs.select("slot", "text").groupBy("slot").applyInArrow(ask, "slot long, bucket int, hashes binary")
+    return docs.groupBy("slot").applyInArrow(ask, "slot long, bucket int, hashes binary")
 
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -190,8 +201,8 @@ def _scorer(shared, n: int, v: int, first: bool, mu: float):
         out = {x.split()[0]: [] for x in SCORED.split(", ")}
         ids, held, all_texts = (texts.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))
         filter_ = shared.value
-        for at in range(0, len(ids), SLICE // 4):
-            tokens, sizes = _tokens([t or "" for t in all_texts[at : at + SLICE // 4]])
+        for at in range(0, len(ids), SLICE // 8):
+            tokens, sizes = _tokens([t or "" for t in all_texts[at : at + SLICE // 8]])
             count = c[np.searchsorted(h, tokens)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             p = (count + 1.0) / (n + v + 1.0)
@@ -200,8 +211,8 @@ def _scorer(shared, n: int, v: int, first: bool, mu: float):
             seen = np.minimum(np.where(level > 0, np.exp2(level - 1.0), 0.0), before)
             smooth = np.log10((seen + mu * p[mine]) / (before + mu))
             of = lambda x, who: np.bincount(who, x, len(sizes))
-            out["doc_id"] += ids[at : at + SLICE // 4]
-            out["held_out"] += held[at : at + SLICE // 4]
+            out["doc_id"] += ids[at : at + SLICE // 8]
+            out["held_out"] += held[at : at + SLICE // 8]
             out["n_tokens"] += (sizes * first).tolist()
             out["n_known"] += (of(count > 0, owner).astype(np.int64) * first).tolist()
             out["base"] += (of(np.log10(p), owner) * first).tolist()
@@ -228,15 +239,16 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits:
             room = part_bytes
         parts[-1].append(r.bucket)
         room -= r.bits // 8
-    answers = _asked(docs, buckets).groupBy("bucket").cogroup(shards.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_answer, "slot long, hashes binary, counts binary")
+    # the same columns in both uses of the slots, so that Spark deals the texts once
+    slotted = docs.select("doc_id", "held_out", "text", "slot")
+    answers = _asked(slotted, buckets).groupBy("bucket").cogroup(shards.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_answer, "slot long, hashes binary, counts binary")
     scored = None
     for i, part in enumerate(parts):
         found = shards.where(F.col("bucket").isin(part)).select("bucket", "filter").toArrow() if part else None
         rows = [] if found is None else list(zip(found.column("bucket").to_pylist(), found.column("filter").to_pylist()))
         shared = spark.sparkContext.broadcast(Filter(buckets, rows))
         del found, rows
-        texts = docs.select("doc_id", "held_out", "text", "slot").groupBy("slot")
-        more = texts.cogroup(answers.groupBy("slot")).applyInArrow(_scorer(shared, n, v, i == 0, mu), SCORED)
+        more = slotted.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_scorer(shared, n, v, i == 0, mu), SCORED)
         scored = more if scored is None else scored.unionByName(more)
     if len(parts) > 1:
         scored = scored.groupBy("doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
