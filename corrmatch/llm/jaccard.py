@@ -19,7 +19,7 @@ equal sets of a batch only once.  In a bucket, sets that share a signature becom
 candidates: all pairs of a small group, but of a large one only the pairs with its
 smallest member.  These are verified on the whole sets.  What is then still apart
 within the large groups of one smallest member is compared in blocks, with a bound on
-the difference of two sets (differences of counts in 128 cells) before the exact test.  Copies meet as
+the difference of two sets (differences of counts in cells) before the exact test.  Copies meet as
 one class, so a group of copies never multiplies.
 
 Defined cases: null and empty texts and texts without words have the empty set,
@@ -45,7 +45,8 @@ SLICE = 2_000
 SMALL = 16
 #: Rows on each side of a block of a large group.
 BLOCK = 2_048
-CELLS = 128
+#: Cells of the counts by which sets are first compared: about a quarter of the set's size.
+FEWEST, MOST = 16, 8_192
 #: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
 BITMAP = 1 << 27
 #: Sets of one neighbourhood that are verified in one group, about.
@@ -106,6 +107,26 @@ def _key(s: np.ndarray, salt: int) -> int:
     return int(mix(np.array([np.add.reduce(mix(s ^ _U(salt))) + _U(len(s))], _U)).view(np.int64)[0])
 
 
+def _cells(s: np.ndarray) -> bytes:
+    """How many elements fall in each of 2^k cells (255 at most), by their low bits."""
+    n = min(MOST, max(FEWEST, 1 << (len(s) // 4).bit_length()))
+    return np.minimum(np.bincount((s & _U(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def _folded(cells: bytes, n: int) -> np.ndarray:
+    """Counts in ``n`` cells from counts in as many or more."""
+    return np.frombuffer(cells, np.uint8).astype(np.int32).reshape(-1, n).sum(0)
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At most the number of elements that two sets do not share."""
+    n = min(len(a), len(b))
+    x, y = _folded(a, n), _folded(b, n)
+    # a full cell may hold more than it says: it is left out
+    sure = (x < 255) & (y < 255)
+    return int(np.abs(x - y)[sure].sum())
+
+
 def _sets(texts: list[str]):
     for at in range(0, len(texts), SLICE):
         yield from shingle_sets(texts[at : at + SLICE])
@@ -117,8 +138,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     def rows(batch):
         out = {"n_shingles": [], "k1": [], "k2": [], "cells": []}
         for s in _sets(texts_of(batch)):
-            cells = np.bincount((s & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            for col, v in zip(out.values(), (len(s), _key(s, 0), _key(s, 12345), np.minimum(cells, 255).astype(np.uint8).tobytes())):
+            for col, v in zip(out.values(), (len(s), _key(s, 0), _key(s, 12345), _cells(s))):
                 col.append(v)
         return {"doc_id": column(batch, "doc_id"), **out}
 
@@ -190,18 +210,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, sets) -> Data
     ``named`` has the key of each id, ``sets(batch, wanted)`` yields (key, set) of a
     batch's rows that ``wanted`` (keys to a mask) lets through.  Texts are not
     shuffled: each task passes on the few sets that a bitmap of the keys lets through.
-    Pairs meet their sets in groups.  Those of one neighbourhood (three steps toward the
+    Pairs meet their sets in groups.  Those of one neighbourhood (two steps toward the
     smallest id) go to one group, so that a set travels once for many pairs; a
     neighbourhood of more than ``TOGETHER`` sets is divided.
     """
     spark = docs.sparkSession
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     label = both.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("near"))
-    for _ in range(2):
-        step = both.join(label.select(F.col("u").alias("v"), "near"), "v").groupBy("u").agg(F.min("near").alias("near"))
-        label = cut(step)
+    label = both.join(label.select(F.col("u").alias("v"), "near"), "v").groupBy("u").agg(F.min("near").alias("near"))
     pairs = cut(pairs.join(label.select(F.col("u").alias("a"), "near"), "a"))
-    crowd = pairs.groupBy("near").agg(F.ceil(F.approx_count_distinct("b") / TOGETHER).alias("parts"))
+    crowd = pairs.groupBy("near").agg(F.ceil(F.greatest(F.approx_count_distinct("b") / TOGETHER, F.count("*") / (10 * TOGETHER))).alias("parts"))
     place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * partitions(spark)}) as int)")
     pairs = cut(pairs.join(crowd, "near").select("a", "b", place.alias("grp")))
     members = pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(named.select("key", "id"), "id")
@@ -241,9 +259,8 @@ def _possible(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and cell counts (na, ca, nb, cb) allow a link."""
 
     def rows(batch):
-        n = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
-        a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("ca", "cb"))
-        keep = pa.array(9 * np.abs(a - b).sum(1) <= n)
+        n = (column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()).tolist()
+        keep = pa.array([9 * _apart(a, b) <= m for a, b, m in zip(column(batch, "ca").to_pylist(), column(batch, "cb").to_pylist(), n)], pa.bool_())
         return {"a": column(batch, "a").filter(keep), "b": column(batch, "b").filter(keep)}
 
     near = pairs.where("100 * least(na, nb) >= 80 * greatest(na, nb)")
@@ -261,7 +278,8 @@ def _blocks(table: pa.Table) -> pa.Table:
     """
     get = lambda c: table.column(c).combine_chunks()
     ids, n, label, side = (get(c).to_numpy() for c in ("id", "n", "label", "side"))
-    cells = np.frombuffer(b"".join(get("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    whole = get("cells").to_pylist()
+    cells = np.minimum([_folded(c, min(map(len, whole))) for c in whole], 255).astype(np.int16)
     leaders = [frozenset(x) for x in get("leaders").to_pylist()]
     leader = table.column("grp")[0].as_py()
     diagonal = bool(table.column("diagonal")[0].as_py())
@@ -274,8 +292,8 @@ def _blocks(table: pa.Table) -> pa.Table:
         near = order[lo:hi]
         near = near[label[near] != label[i]]
         near = near[ids[near] > ids[i]] if diagonal else near
-        near = near[9 * np.abs(cells[near] - cells[i]).sum(1) <= n[near] + n[i]]
-        out += [(ids[i], ids[j]) for j in near.tolist() if min(leaders[i] & leaders[j]) == leader]
+        near = near[9 * (np.abs(cells[near] - cells[i]) * ((cells[near] < 255) & (cells[i] < 255))).sum(1) <= n[near] + n[i]]
+        out += [(ids[i], ids[j]) for j in near.tolist() if min(leaders[i] & leaders[j]) == leader and 9 * _apart(whole[i], whole[j]) <= n[i] + n[j]]
     two = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(two.min(1) if len(two) else two[:, 0], pa.int64()), "b": pa.array(two.max(1) if len(two) else two[:, 1], pa.int64())})
 

@@ -83,3 +83,15 @@ def test_long_chain_and_star(spark):
     rng.shuffle(links)
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}, 4999: 4999, 5000: 4999}
+
+
+def test_cells_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 6), (60, 66), (300, 333), (5000, 5600), (70, 900)):
+        a = rng.integers(0, 1 << 62, n, np.uint64)
+        b = np.concatenate((a[: n * 9 // 10], rng.integers(0, 1 << 62, m - n * 9 // 10, np.uint64)))
+        assert jaccard._apart(jaccard._cells(a), jaccard._cells(b)) <= len(np.setxor1d(a, b))
+    crowd = np.arange(9000, dtype=np.uint64) << np.uint64(20)  # all in one cell
+    assert jaccard._apart(jaccard._cells(crowd), jaccard._cells(crowd[:8000])) <= 1000
