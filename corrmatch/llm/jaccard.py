@@ -45,8 +45,8 @@ SLICE = 2_000
 SMALL = 16
 #: Rows on each side of a block of a large group.
 BLOCK = 2_048
-#: Cells of the counts by which sets are first compared: about a quarter of the set's size.
-FEWEST, MOST = 16, 8_192
+#: Cells of the counts by which sets are first compared: about a quarter of the size of a large set.
+FEWEST, MOST = 128, 8_192
 #: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
 BITMAP = 1 << 27
 #: Sets of one neighbourhood that are verified in one group, about.
@@ -350,3 +350,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
+
+
+#: The same rows by comparing all documents that share a shingle, for small tables.
+SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT x, y, c = a.n AND c = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+r AS (SELECT x AS id, y AS r FROM e UNION SELECT r.id, e.y FROM r JOIN e ON r.r = e.x),
+c AS (SELECT id, min(r) AS least FROM r GROUP BY id),
+q AS (SELECT y AS id, min(x) AS least FROM k WHERE same GROUP BY y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(q.least, d.doc_id) AS class_id, coalesce(c.least, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id LEFT JOIN q ON q.id = d.doc_id"""

@@ -14,7 +14,7 @@ hashes; a bucket yields its share of the vocabulary and a filter of its own, of
 more bigrams than one part holds are scored in several passes, whose sums add up,
 as a token's probability needs its own bigram only.  The vocabulary is never
 broadcast: the texts of a slot ask the buckets for the counts of their own distinct
-words and get them back as one table.
+words and get them back as one table.  Texts travel to their slots as compressed blocks.
 
 Defined cases: a null or empty text is one token, the end; without training texts
 all counts are 0; a null doc_id counts as the text ''; repeated rows are scored each;
@@ -160,12 +160,34 @@ class Filter:
         return mine, found
 
 
-def _asked(docs: DataFrame, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame) -> DataFrame:
+    """slot, block: the texts of a batch that belong to a slot, compressed."""
+
+    def rows(batch):
+        batch = batch.take(pc.sort_indices(batch.column(batch.schema.get_field_index("slot"))))
+        slot = column(batch, "slot").to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.zeros(1, int)
+        texts, out = batch.select(["doc_id", "held_out", "text"]), []
+        for a, b in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(texts.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        return {"slot": slot[cuts[:-1]], "block": out}
+
+    return per_batch(docs.select("slot", "doc_id", "held_out", "text"), rows, "slot long, block binary")
+
+
+def _opened(blocks: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks.column("block").to_pylist()])
+
+
+def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
     """The distinct words of each slot, by the bucket that knows their counts."""
 
     def ask(table: pa.Table) -> pa.Table:
-        texts = [t or "" for t in table.column("text").to_pylist()]
-        h = np.unique(np.append(hashed(texts)[0], END))
+        found = [hashed([t or "" for t in pa.ipc.open_stream(b).read_all().column("text").to_pylist()])[0] for b in table.column("block").to_pylist()]
+        h = np.unique(np.append(np.concatenate([np.unique(f) for f in found]), END))
         order, cuts = _dealt(h, buckets)
         h = h[order]
         used = np.flatnonzero(np.diff(cuts))
@@ -175,7 +197,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
             "hashes": pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
         })
 
-    return docs.groupBy("slot").applyInArrow(ask, "slot long, bucket int, hashes binary")
+    return blocks.groupBy("slot").applyInArrow(ask, "slot long, bucket int, hashes binary")
 
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -194,7 +216,8 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 def _scorer(shared, n: int, v: int, first: bool, mu: float):
     """Score the texts of a slot; base scores and counts in the first pass only."""
 
-    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    def score(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        texts = _opened(blocks)
         h, c = (np.frombuffer(b"".join(counts.column(x).to_pylist()), t) for x, t in (("hashes", _U), ("counts", np.int64)))
         order = np.argsort(h)
         h, c = h[order], c[order]
@@ -240,7 +263,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits:
         parts[-1].append(r.bucket)
         room -= r.bits // 8
     # the same columns in both uses of the slots, so that Spark deals the texts once
-    slotted = docs.select("doc_id", "held_out", "text", "slot")
+    slotted = _blocks(docs)
     answers = _asked(slotted, buckets).groupBy("bucket").cogroup(shards.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_answer, "slot long, hashes binary, counts binary")
     scored = None
     for i, part in enumerate(parts):

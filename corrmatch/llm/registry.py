@@ -10,4 +10,4 @@ _ALL = (
     fingerprints.op8_weighted_sampling, lm.op9_lm_scoring, langid.op10_language_id,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.SQL, "op6_ngram_jaccard": jaccard.SQL}
