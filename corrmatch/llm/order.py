@@ -42,6 +42,8 @@ from .common import column, documents, per_batch, shared_folder, texts_of
 LENGTH = 256
 SHARD = 8_192
 ROUNDS = 6
+#: Documents whose records are made at a time.
+SLICE = 2_500
 KEY = 0x5EED
 _U = np.uint64
 _NULL = -(1 << 63)
@@ -144,7 +146,11 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, length: i
     offsets = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)]).tolist()))
     shared, form = spark.sparkContext.broadcast(offsets), record(length, kind)
 
-    def cut_up(batch):
+    def cut_up(whole):
+        for at in range(0, whole.num_rows, SLICE):
+            yield placed(whole.slice(at, SLICE))
+
+    def placed(batch):
         count = column(batch, "n").to_numpy()
         base = np.array([shared.value[p] for p in column(batch, "part").to_pylist()], np.int64) + column(batch, "start").to_numpy()
         owner = np.repeat(np.arange(len(count)), count)
