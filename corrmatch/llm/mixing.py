@@ -35,7 +35,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: exponents.
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 ROUNDS = 40
-EPSILON = 1e-12
+EPSILON = 1e-9
 BROADCAST = 50_000
 SEED = "mix"
 _SPACE = "[ \t\n\x0b\f\r]+"
@@ -74,7 +74,9 @@ def _targets(cells: DataFrame, dimension: str, target: float | dict[str, float])
     else:
         total = F.when(F.sum("w") > 0, F.pow(F.sum("w"), F.lit(float(target)))).otherwise(0.0)
         values = cells.groupBy(F.col(dimension).alias("value")).agg(total.alias("t"))
-    return values.crossJoin(F.broadcast(values.agg(F.sum("t").alias("all")))).select("value", F.when(F.col("all") > 0, F.col("t") / F.col("all")).otherwise(0.0).alias("t"))
+    values = cut(values)
+    all_ = values.agg(F.sum("t")).first()[0] or 0.0
+    return values.select("value", (F.col("t") / F.lit(all_) if all_ > 0 else F.lit(0.0)).alias("t"))
 
 
 def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]]) -> DataFrame:
@@ -104,8 +106,8 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] | None = N
     keys = {"source": F.coalesce(F.col("source"), F.lit("")), "lang": F.coalesce(F.col("lang"), F.lit("")), "topic": F.col("_topic")}
     cells = cut(rows.groupBy(*[keys[d].alias(d) for d in DIMENSIONS]).agg(F.sum("_words").alias("w")))
     raked = rake(cells, targets)
-    weight = F.when((F.col("w") > 0) & (F.col("all") > 0), F.col("share") * F.col("all") / F.col("w") / F.col("shares")).otherwise(0.0)
-    raked = raked.crossJoin(F.broadcast(raked.agg(F.sum("w").alias("all"), F.sum("share").alias("shares"))))
+    all_, shares = raked.agg(F.sum("w"), F.sum("share")).first()
+    weight = F.when(F.col("w") > 0, F.col("share") * F.lit(float(all_)) / F.col("w") / F.lit(shares)).otherwise(0.0) if all_ and shares else F.lit(0.0)
     raked = cut(raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMENSIONS], weight.alias("_weight")))
     most = raked.agg(F.max("_weight"), F.count("*")).first()
     p = F.col("_weight") / F.lit(most[0]) if most[0] else F.lit(1.0)
