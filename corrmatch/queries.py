@@ -66,7 +66,8 @@ def stats_row(spark, sf_dir):
     l, r, matches = _matched(spark, sf_dir)
     totals = report.totals(files(spark, sf_dir)).groupBy().pivot("side", ["left", "right"]).agg(F.first("total"))
     counted = report.counters(matches.withColumn("binary", F.lit(False)))
-    return counted.join(F.broadcast(totals.toDF("total_left", "total_right")))  # one row each
+    one = F.lit(1).alias("one")  # a row each
+    return counted.select("*", one).join(totals.toDF("total_left", "total_right").select("*", one), "one").drop("one")
 
 
 @query(f"{W}, {NAMES} SELECT l_ord, r_ord FROM s")
