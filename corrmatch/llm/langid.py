@@ -198,9 +198,11 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            got = (shared.value.predict(t) for t in texts_of(batch))
-            yield batch.filter(pa.array([lang != UND and score >= least for lang, score in got], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_500):
+                batch = whole.slice(at, 2_500)
+                got = (shared.value.predict(t) for t in texts_of(batch))
+                yield batch.filter(pa.array([lang != UND and score >= least for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -94,7 +94,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
                         col.append(v)
             yield out
 
-    return per_batch(docs.select("text"), rows, "bucket int, bigram boolean, hashes binary, counts binary")
+    return per_batch(docs.select("text"), rows, "bucket int, bigram boolean, hashes binary, counts binary", rows=SLICE)
 
 
 def _summed(table: pa.Table, bigram: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             out.append(sink.getvalue().to_pybytes())
         return {"slot": slot[cuts[:-1]], "block": out}
 
-    return per_batch(docs.select("slot", "doc_id", "held_out", "text"), rows, "slot long, block binary")
+    return per_batch(docs.select("slot", "doc_id", "held_out", "text"), rows, "slot long, block binary", rows=SLICE)
 
 
 def _opened(blocks: pa.Table) -> pa.Table:

@@ -80,7 +80,7 @@ def _tokenised(docs: DataFrame, path: str, length: int, kind: str) -> DataFrame:
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
         names = ["part", "start", "n", "doc_id", "ids"]
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             doc_ids, texts = column(batch, "doc_id").to_pylist(), texts_of(batch)
             for i in range(0, len(texts), 512):
                 ids = [np.append(x, np.uint32(tokens.END)).astype(kind) for x in tokens.encoder(path).ids(texts[i : i + 512])]
