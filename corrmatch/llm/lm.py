@@ -12,8 +12,8 @@ Scale.  Counts of all training texts meet in buckets as packed arrays of 64-bit
 hashes; a bucket yields its share of the vocabulary and a filter of its own, of
 ``BITS`` bits an entry.  The filters are broadcast in parts of at most ``PART`` bytes:
 more bigrams than one part holds are scored in several passes, whose sums add up,
-as a token's probability needs its own bigram only.  The vocabulary is never
-broadcast: the texts of a slot ask the buckets for the counts of their own distinct
+as a token's probability needs its own bigram only; a number given to each row
+before the passes says which sums belong together.  The vocabulary is never broadcast: the texts of a slot ask the buckets for the counts of their own distinct
 words and get them back as one table.  Texts travel to their slots as compressed blocks.
 
 Defined cases: a null or empty text is one token, the end; without training texts
@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         batch = batch.take(pc.sort_indices(batch.column(batch.schema.get_field_index("slot"))))
         slot = column(batch, "slot").to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.zeros(1, int)
-        texts, out = batch.select(["doc_id", "held_out", "text"]), []
+        texts, out = batch.select(["row", "doc_id", "held_out", "text"]), []
         for a, b in zip(cuts, cuts[1:]):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -175,7 +175,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             out.append(sink.getvalue().to_pybytes())
         return {"slot": slot[cuts[:-1]], "block": out}
 
-    return per_batch(docs.select("slot", "doc_id", "held_out", "text"), rows, "slot long, block binary", rows=SLICE)
+    return per_batch(docs.select("slot", "row", "doc_id", "held_out", "text"), rows, "slot long, block binary", rows=SLICE)
 
 
 def _opened(blocks: pa.Table) -> pa.Table:
@@ -210,7 +210,7 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"slot": asked.column("slot"), "hashes": asked.column("hashes"), "counts": pa.array(out, pa.binary())})
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
 
 
 def _scorer(shared, n: int, v: int, first: bool, mu: float):
@@ -222,7 +222,7 @@ def _scorer(shared, n: int, v: int, first: bool, mu: float):
         order = np.argsort(h)
         h, c = h[order], c[order]
         out = {x.split()[0]: [] for x in SCORED.split(", ")}
-        ids, held, all_texts = (texts.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))
+        numbers, ids, held, all_texts = (texts.column(x).to_pylist() for x in ("row", "doc_id", "held_out", "text"))
         filter_ = shared.value
         for at in range(0, len(ids), SLICE // 8):
             tokens, sizes = _tokens([t or "" for t in all_texts[at : at + SLICE // 8]])
@@ -234,13 +234,14 @@ def _scorer(shared, n: int, v: int, first: bool, mu: float):
             seen = np.minimum(np.where(level > 0, np.exp2(level - 1.0), 0.0), before)
             smooth = np.log10((seen + mu * p[mine]) / (before + mu))
             of = lambda x, who: np.bincount(who, x, len(sizes))
+            out["row"] += numbers[at : at + SLICE // 8]
             out["doc_id"] += ids[at : at + SLICE // 8]
             out["held_out"] += held[at : at + SLICE // 8]
             out["n_tokens"] += (sizes * first).tolist()
             out["n_known"] += (of(count > 0, owner).astype(np.int64) * first).tolist()
             out["base"] += (of(np.log10(p), owner) * first).tolist()
             out["model"] += of(smooth, owner[mine]).tolist()
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
+        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
         return pa.table({k: pa.array(x, kinds.get(k, pa.float64())) for k, x in out.items()})
 
     return score
@@ -251,8 +252,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits:
     spark = docs.sparkSession
     buckets, slots = partitions(spark), 2 * partitions(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    docs = docs.select("doc_id", "text", (fold == held).alias("held_out"), F.expr("xxhash64(doc_id, text)").alias("row"))
-    docs = docs.withColumn("slot", F.expr(f"pmod(row, {slots})"))
+    docs = docs.select("doc_id", "text", (fold == held).alias("held_out"), F.expr(f"pmod(xxhash64(doc_id, text), {slots})").alias("slot"))
     shards = cut(_counted(docs.where("not held_out"), buckets).groupBy("bucket").applyInArrow(lambda t: _shard(t, bits), "bucket int, hashes binary, counts binary, filter binary, bits long, tokens long, types long"))
     n, v = (x or 0 for x in shards.agg(F.sum("tokens"), F.sum("types")).first())
     parts, room = [[]], part_bytes
@@ -263,7 +263,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits:
         parts[-1].append(r.bucket)
         room -= r.bits // 8
     # the same columns in both uses of the slots, so that Spark deals the texts once
-    slotted = _blocks(docs)
+    slotted = _blocks(docs.withColumn("row", F.monotonically_increasing_id()))
+    if len(parts) > 1:  # all passes must see the same numbers
+        slotted = cut(slotted)
     answers = _asked(slotted, buckets).groupBy("bucket").cogroup(shards.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_answer, "slot long, hashes binary, counts binary")
     scored = None
     for i, part in enumerate(parts):
@@ -274,7 +276,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits:
         more = slotted.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_scorer(shared, n, v, i == 0, mu), SCORED)
         scored = more if scored is None else scored.unionByName(more)
     if len(parts) > 1:
-        scored = scored.groupBy("doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
+        scored = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 

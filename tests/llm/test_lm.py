@@ -70,3 +70,17 @@ def test_empty_table_and_no_training_texts(spark, tmp_path):
     write(spark, [(held, "a b")], f"{tmp_path}/b")
     (r,) = lm.op9_lm_scoring(spark, f"{tmp_path}/b").collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 300])
+def test_repeated_and_null_ids_are_scored_each(spark, tmp_path, part):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.choice([1, 7, 60])))
+    rows = [(i, text()) for i in range(80)]
+    rows += [(7, rows[7][1])] * 2 + [(7, text()), (None, text()), (None, None), (None, text()), (None, rows[3][1]), (None, rows[3][1])]
+    write(spark, rows, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = lm.score(docs, mu=20.0, bits=40, part_bytes=part).collect()
+    count = lambda pairs: collections.Counter((-1 if i is None else i, n) for i, n in pairs)
+    assert count((r.doc_id, r.n_tokens) for r in got) == count((i, len(words(t))) for i, t in rows)
+    assert len({r.score for r in got if r.doc_id == 7}) == 2
