@@ -19,7 +19,8 @@ Scale.  Units and band keys travel as packed arrays and meet in buckets.  Only k
 that repeat come out; their places are found by another pass with a bitmap of at most
 16 MiB and an exact join.  Equal units are one class, so copies give no pairs; a band
 that many classes share gives the pairs with its smallest member and those of
-neighbours, and components join the rest.
+neighbours first.  What is then still apart within such bands of one smallest member is
+compared in blocks, by sizes and counts in cells, and verified on whole sets.
 
 Defined cases: null and empty texts have no units; rows with one doc_id are one
 document (a null doc_id is below all others); a passage that repeats within one
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import column, cut, documents, partitions, per_batch, texts_of
 from .components import components
-from .jaccard import _bitmap, _verified
+from .jaccard import BLOCK, _bitmap, _cells, _rest, _verified
 from .shingles import SIZE, hashed, joined, mix
 
 PARAGRAPH = 20
@@ -166,22 +167,28 @@ def _shared(table: pa.Table, band: bool) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Keys in two documents or more (key, null), and candidate classes (a, b)."""
+    """Keys in two documents or more (key, null), and candidate classes (a, b).
+
+    ``large`` marks the pairs of a large band's smallest member with the others.
+    """
     key, _, starts = _shared(table, False)
     repeated = key[starts[:-1]][np.diff(starts) > 1]
     _, value, starts = _shared(table, True)
-    sizes, pairs = np.diff(starts), [np.zeros((0, 2), np.int64)]
+    sizes, pairs, stars = np.diff(starts), [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
     for g in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
         rows = value[starts[:-1][sizes == g][:, None] + np.arange(g)]
         i, j = np.triu_indices(g, 1)
         pairs.append(np.stack((rows[:, i].ravel(), rows[:, j].ravel()), 1))
     for a, n in zip(starts[:-1][sizes > SMALL], sizes[sizes > SMALL]):
         rows = value[a : a + n]
-        pairs += [np.stack((np.full(n - 1, rows[0]), rows[1:]), 1), np.stack((rows[:-1], rows[1:]), 1)]
-    two = np.unique(np.concatenate(pairs), axis=0)
+        pairs.append(np.stack((rows[:-1], rows[1:]), 1))
+        stars.append(np.stack((np.full(n - 1, rows[0]), rows[1:]), 1))
+    two, star = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(stars), axis=0)
+    both = np.concatenate((two, star))
     return pa.table({
-        "a": pa.array(np.concatenate((repeated, two[:, 0])), pa.int64()),
-        "b": pa.concat_arrays([pa.nulls(len(repeated), pa.int64()), pa.array(two[:, 1], pa.int64())]),
+        "a": pa.array(np.concatenate((repeated, both[:, 0])), pa.int64()),
+        "b": pa.concat_arrays([pa.nulls(len(repeated), pa.int64()), pa.array(both[:, 1], pa.int64())]),
+        "large": pa.array(np.arange(len(repeated) + len(both)) >= len(repeated) + len(two)),
     })
 
 
@@ -202,6 +209,25 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _verified(docs, pairs, keys.select("id", F.col("id").alias("key")), _sets_of_classes)
 
 
+def _apart(docs: DataFrame, stars: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """Pairs of classes of large bands (stars of smallest members) that links do not connect."""
+    groups = stars.select(F.col("a").alias("grp"), F.col("b").alias("id")).unionByName(stars.select(F.col("a").alias("grp"), F.col("a").alias("id")).distinct())
+    labels = cut(components(links))
+    label = F.coalesce("component", "id")
+    open_ = groups.join(labels, "id", "left").groupBy("grp").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi")
+    groups = cut(groups.join(open_, "grp", "left_semi"))
+    if groups.isEmpty():
+        return links.limit(0)
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select(F.col("id").alias("key")).distinct()))
+
+    def rows(batch):
+        for found in _sets_of_classes(batch, lambda keys: _passes(bitmap.value, keys)):
+            yield {"id": list(found), "n": [len(s) for s in found.values()], "cells": [_cells(s) for s in found.values()]}
+
+    named = cut(per_batch(docs, rows, "id long, n long, cells binary").groupBy("id").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
+    return cut(_rest(groups, named, labels, block))
+
+
 def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:
     """Runs (begin, end, removed, keeper) of RUN words or more of one document."""
     out = []
@@ -220,7 +246,7 @@ def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:
     return sorted(out)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, begin, end (words), n_words, removed, keeper of each repeated passage.
 
     Rows exist for documents with repeated passages only.  ``keeper`` is the smallest
@@ -228,8 +254,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    met = cut(_dealt(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(_meet, "a long, b long"))
-    links = _linked(docs, cut(met.where("b is not null").distinct()))
+    met = cut(_dealt(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(_meet, "a long, b long, large boolean"))
+    links = _linked(docs, cut(met.where("b is not null").select("a", "b").distinct()))
+    stars = cut(met.where("large").select("a", "b").distinct())
+    if not stars.isEmpty():
+        more = _apart(docs, stars, links, block)
+        if not more.isEmpty():
+            links = links.unionByName(_linked(docs, more))
     names = cut(components(links))
     keys = met.where("b is null").select(F.col("a").alias("id")).unionByName(names.select("id")).distinct()
     keys = cut(keys.join(names, "id", "left").select(F.col("id").alias("key"), F.coalesce("component", "id").alias("component")))

@@ -101,3 +101,22 @@ def test_cuts_depend_on_nearby_words_only():
     passage = words(rng, 60)
     a, b = (sub.Units([" ".join(words(rng, n) + passage + words(rng, 30))]) for n in (11, 50))
     assert len(np.intersect1d(a.keys[a.paragraphs :], b.keys[b.paragraphs :])) >= 3
+
+
+def test_a_family_around_one_paragraph_stays_together(spark, tmp_path):
+    rng = random.Random(6)
+    hub = words(rng, 50)
+    rows = [(0, " ".join(hub))]
+    for i in range(1, 401):
+        w = list(hub)
+        w[22 + i % 7] = f"variant{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(46)} for _, t in rows]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)  # one component, by the hub
+    u = sub.Units([t for _, t in rows])
+    apart = [i for i in range(1, 401) if not (u.signatures[0] == u.signatures[i]).any()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sub.repeats(documents(spark, str(tmp_path)), block=64).collect()
+    assert not [i for i in apart if i]  # MinHash itself loses none here
+    whole = {r.doc_id for r in got if r.begin == 0 and r.n_words == 50 and r.keeper == 0}
+    assert whole == set(range(401))
