@@ -4,11 +4,14 @@ The standard library's parser streams each page.  Block elements cut it into lin
 a line's ratio is its characters (link texts aside) over its tags.  Lines within
 elements that are never article text (menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) have ratio 0 and no text.
-The ratios are smoothed by a Gaussian, and a threshold between two clusters of the
-smoothed values (two-means) marks content lines.  The regions that hold marked lines
-are the result, whole: a short line of an article is as much of it as a long one.
-A region is an article or main element, or else the innermost section, division or
-cell; a page with an article or main element that has marked lines takes only those.
+An element's name counts as a whole class or id, but for known affixes; it says nothing
+of a main element within, of headings and of inline elements, and what names leave out
+(on pages with articles: articles within named elements) is taken where it outweighs the rest.  The ratios are smoothed
+by a Gaussian, and a threshold between two clusters of the smoothed values (two-means)
+marks content lines.  The regions that hold marked lines are the result, whole: a short
+line of an article is as much of it as a long one.  A region is an article or main
+element, or else the innermost section, division or cell; a page with an article or
+main element that has marked lines takes only those.
 
 Defined cases: a null or empty page, and one without text, has the text '' and 0
 characters; unclosed and wrongly nested tags close as browsers close them, in the
@@ -44,31 +47,56 @@ _NAMES = frozenset(
     "header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices alert banner popup modal newsletter subscribe subscription "
     "signup login comment comments commentlist disqus respond related recommended share sharing social pagination pager toolbar widget".split()
 )
+#: Names of reader comments, which hold articles of their own.
+_REPLIES = frozenset("comment comments commentlist disqus".split())
+#: Words that may stand beside those names in a class or id without changing its sense.
+_AFFIXES = frozenset(
+    "site main global top bottom left right primary secondary upper lower mobile desktop sticky fixed inner outer box bar block body container content "
+    "wrapper wrap area region panel row col column list section item items link links button buttons icons posts articles stories form message text "
+    "unit slot overlay modal dialog thread js is ui".split()
+)
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+_HEADERS = frozenset("header masthead".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How far a line is left out: not, as an article in an element left out by its name, by such a name, by one of replies, always.
+_CLEAN, _HELD, _DOUBT, _REPLY, _OUT = range(5)
 _LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> bool:
+def _matched(attrs: list[tuple[str, str | None]], names: frozenset[str]) -> bool:
+    """Whether a whole class or id is one of ``names``, but for known affixes and digits."""
     for name, value in attrs:
-        if not value:
-            continue
-        if name in ("class", "id"):
-            if any(w.lower() in _NAMES for w in _WORD.findall(value)):
-                return True
-        elif name == "role" and value.strip().lower() in _ROLES:
-            return True
+        if value and name in ("class", "id"):
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if any(w in names for w in words) and all(w in names or w in _NAMES or w in _AFFIXES for w in words):
+                    return True
     return False
 
 
+def _left_out(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> int:
+    """How far an element's own tag and attributes leave it out."""
+    if tag in _NEVER or tag == "header" and not article:
+        return _OUT
+    if any(n == "role" and v and v.strip().lower() in _ROLES for n, v in attrs):
+        return _OUT
+    if tag in _INLINE or tag in _HEADINGS or tag in ("html", "body"):
+        return _CLEAN
+    if _matched(attrs, _REPLIES):
+        return _REPLY
+    return _DOUBT if _matched(attrs, _NAMES - _HEADERS if article else _NAMES) else _CLEAN
+
+
 class _Lines(HTMLParser):
-    """Collects (text, length without links, tags, region, whether in an article)."""
+    """Collects (text, length without links, tags, region, how far left out, whether in an article)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        # tag, is left out, region, in an article
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
-        self.regions, self.links = 0, 0
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        # tag, how far left out, region, in an article
+        self.open: list[tuple[str, int, int, bool]] = [("", _CLEAN, 0, False)]
+        self.around = [0]  # the region around each region
+        self.links = 0
         self.parts: list[str] = []
         self.linked, self.tags = 0, 0
 
@@ -76,7 +104,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         _, out, region, article = self.open[-1]
         if text or self.tags:
-            self.lines.append((text, 0 if out else max(0, len(text) - self.linked), self.tags, region, article))
+            self.lines.append((text, max(0, len(text) - self.linked), self.tags, region, out, article))
         self.parts, self.linked, self.tags = [], 0, 0
 
     def pop(self, at: int) -> None:
@@ -111,14 +139,16 @@ class _Lines(HTMLParser):
             self.links += 1
         _, out, region, article = self.open[-1]
         main = tag in ("article", "main") or any(n == "role" and v in ("main", "article") for n, v in attrs)
-        named = tag not in ("html", "body") and not main and _named(attrs)
-        if tag in ("article", "main") and any(n == "class" and v and "comment" in v.lower() for n, v in attrs):
-            named = True
-        left_out = out or tag in _NEVER or named or tag == "header" and not article
+        own = _left_out(tag, attrs, article)
+        if main:  # the name of an element does not tell against an article in it
+            only = tag == "main" or ("role", "main") in attrs
+            own = own if own == _OUT or own == _REPLY and not only else _CLEAN
+            out = _CLEAN if only and not article and out < _OUT else _HELD if not article and out == _DOUBT else out
         if (main or tag in _REGIONS) and not article:
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, left_out, region, article or main and not left_out))
+            self.around.append(region)
+            region = len(self.around) - 1
+        out = max(out, own)
+        self.open.append((tag, out, region, article or main and out < _REPLY))
 
     def handle_endtag(self, tag):
         if tag in _VOID:
@@ -139,7 +169,7 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.open[-1][1]:
+        if self.open[-1][1] < _REPLY:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -180,18 +210,24 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if x[0] or x[2]]
+    # what names leave out is taken where it outweighs all else
+    size = [sum(n for _, n, _, _, out, _ in lines if out == level) for level in range(_OUT)]
+    article = any(x[0] and x[5] and x[4] <= _HELD for x in lines)
+    most = (_HELD if size[_HELD] > size[_CLEAN] else _CLEAN) if article else (_DOUBT if size[_DOUBT] > size[_CLEAN] else _CLEAN)
+    # (text, ratio, region, in an article)
+    lines = [(t, n / max(1, tags), r, within) if out == _CLEAN or out == most else ("", 0.0, r, False) for t, n, tags, r, out, within in lines]
     if not any(x[0] for x in lines):
         return ""
-    ratios = np.array([n / max(1, tags) for _, n, tags, _, _ in lines])
+    ratios = np.array([x[1] for x in lines])
     values = smooth(ratios)
     marked = (values >= threshold(values)) & (ratios > 0)
     if not marked.any():  # texts of links only
         marked = np.array([bool(x[0]) for x in lines])
-    in_article = np.array([x[4] for x in lines])
-    regions = {x[3] for x, m in zip(lines, marked) if m}
-    if has_text := {x[3] for x in lines if x[4] and x[0]}:
-        regions = {x[3] for x, m in zip(lines, marked & in_article) if m} or has_text
-    return " ".join(x[0] for x in lines if x[0] and x[3] in regions)
+    in_article = np.array([x[3] for x in lines])
+    regions = {x[2] for x, m in zip(lines, marked) if m}
+    if has_text := {x[2] for x in lines if x[3] and x[0]}:
+        regions = {x[2] for x, m in zip(lines, marked & in_article) if m} or has_text
+    return " ".join(x[0] for x in lines if x[0] and x[2] in regions)
 
 
 def extract(pages: DataFrame) -> DataFrame:

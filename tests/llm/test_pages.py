@@ -72,3 +72,22 @@ def test_nulls_and_empty_table(spark, tmp_path):
     assert got == [(0, "x", 1), (1, "", 0), (1, "", 0)]
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/b/pages.parquet")
     assert html.op7_html_extraction(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='layout-no-sidebar'><article><h2>Title</h2><p>{a}<p>End.</article></div>",
+        "<body><div class='post has-sidebar'><main class='comments-enabled'><h2>Title</h2><p>{a}<p>End.</main></div>",
+        "<body><div class='sidebar'><article class='entry-content share-enabled'><h2>Title</h2><p>{a}<p>End.</article></div><div class=menu>x</div>",
+        "<article><h2 id='related'>Title</h2><section id='related-work'><p>{a}</section><section id='share-of-exports'><p>End.</section></article>",
+        "<article><div class='entry-header'><h2>Title</h2></div><p id='social-policy'>{a}<p id='navigation-at-sea'>End.</article>",
+        "<article><h2>Title</h2><p>{a}<p>End.</p><div class='ad-box'>Buy.</div><div class='shareButtons'>Tell</div></article><div class=related><article>Card.</article></div>",
+    ],
+)
+def test_names_count_as_a_whole(page):
+    assert html.main_text(page.format(a=ARTICLE)) == f"Title {ARTICLE.strip()} End."
+
+
+def test_a_long_advert_stays_out_of_a_short_article():
+    assert html.main_text(f"<article><p>Short.</p><div class=ad>{ARTICLE}</div></article>") == "Short."
