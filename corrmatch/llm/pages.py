@@ -8,10 +8,10 @@ An element's name counts as a whole class or id, but for known affixes; it says
 of a main element within, of headings and of inline elements, and what names leave out
 (on pages with articles: articles within named elements) is taken where it outweighs the rest.  The ratios are smoothed
 by a Gaussian, and a threshold between two clusters of the smoothed values (two-means)
-marks content lines.  The regions that hold marked lines are the result, whole: a short
-line of an article is as much of it as a long one.  A region is an article or main
-element, or else the innermost section, division or cell; a page with an article or
-main element that has marked lines takes only those.
+marks content lines.  The result is the smallest region (section, division, cell, page)
+that holds all marked lines, whole: a short line of an article is as much of it as a
+long one.  On a page with article or main elements that have text, those are the
+result, all of them.
 
 Defined cases: a null or empty page, and one without text, has the text '' and 0
 characters; unclosed and wrongly nested tags close as browsers close them, in the
@@ -144,7 +144,7 @@ class _Lines(HTMLParser):
             only = tag == "main" or ("role", "main") in attrs
             own = own if own == _OUT or own == _REPLY and not only else _CLEAN
             out = _CLEAN if only and not article and out < _OUT else _HELD if not article and out == _DOUBT else out
-        if (main or tag in _REGIONS) and not article:
+        if main or tag in _REGIONS:
             self.around.append(region)
             region = len(self.around) - 1
         out = max(out, own)
@@ -200,6 +200,14 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _path(around: list[int], region: int) -> list[int]:
+    """The regions from the whole page, 0, to ``region``."""
+    out = [region]
+    while out[-1]:
+        out.append(around[out[-1]])
+    return out[::-1]
+
+
 def main_text(html: str) -> str:
     """The article's blocks in page order, joined by one space."""
     parser = _Lines()
@@ -218,16 +226,18 @@ def main_text(html: str) -> str:
     lines = [(t, n / max(1, tags), r, within) if out == _CLEAN or out == most else ("", 0.0, r, False) for t, n, tags, r, out, within in lines]
     if not any(x[0] for x in lines):
         return ""
+    if any(x[0] and x[3] for x in lines):
+        return " ".join(x[0] for x in lines if x[0] and x[3])
     ratios = np.array([x[1] for x in lines])
     values = smooth(ratios)
     marked = (values >= threshold(values)) & (ratios > 0)
     if not marked.any():  # texts of links only
         marked = np.array([bool(x[0]) for x in lines])
-    in_article = np.array([x[3] for x in lines])
-    regions = {x[2] for x, m in zip(lines, marked) if m}
-    if has_text := {x[2] for x in lines if x[3] and x[0]}:
-        regions = {x[2] for x, m in zip(lines, marked & in_article) if m} or has_text
-    return " ".join(x[0] for x in lines if x[0] and x[2] in regions)
+    paths = {r: _path(parser.around, r) for r in {x[2] for x in lines}}
+    common = paths[next(x[2] for x, m in zip(lines, marked) if m)]
+    for r in {x[2] for x, m in zip(lines, marked) if m}:
+        common = [a for a, b in zip(common, paths[r]) if a == b]
+    return " ".join(x[0] for x in lines if x[0] and common[-1] in paths[x[2]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

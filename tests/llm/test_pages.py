@@ -91,3 +91,15 @@ def test_names_count_as_a_whole(page):
 
 def test_a_long_advert_stays_out_of_a_short_article():
     assert html.main_text(f"<article><p>Short.</p><div class=ad>{ARTICLE}</div></article>") == "Short."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div><h2>Title</h2><section><p>{a}</section><section><h3>Short.</h3><p>One line.</section><div><p>{a}</div><div>End.</div></div>",
+        "<body><div><h2>Title</h2><p>{a}<table><tr><th>Short.<td>One line.</table><div>{a}</div><p>End.</div><div class=footer>x</div>",
+        "<body><article><h2>Title</h2><p>{a}</article><article><p>Short.<p>One line.</article><article><p>{a}<p>End.</article>",
+    ],
+)
+def test_short_parts_between_long_ones_stay(page):
+    assert html.main_text(page.format(a=ARTICLE)) == f"Title {ARTICLE.strip()} Short. One line. {ARTICLE.strip()} End."
