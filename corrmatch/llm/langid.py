@@ -4,19 +4,23 @@ Features are hashed character n-grams of one to three letters with TF-IDF weight
 The classifier learns by follow-the-regularised-leader (proximal) with elastic-net
 penalties; a temperature fitted on rows kept apart calibrates its probabilities.
 
-Document frequencies and label counts cover every learnable row.  Only the fit takes
-a sample: about ``SAMPLE`` rows in all, dealt evenly over the labels by a hash of the
-row, so that it does not grow with the table.  Prediction sees the whole text and
-nothing else, with a model of fixed size (``DIM`` x labels) broadcast to the workers.
+Document frequencies and label counts cover every learnable row, and every label is
+learned.  Only the fit takes a sample: about ``SAMPLE`` rows in all, dealt evenly over
+the labels by a hash of the row, but some ``LEAST`` rows of each label at least, so that
+it grows with the labels and not with the table.  Of a label's rows one at least is
+learned from.  Prediction sees the whole text and nothing else; the weights that are
+not 0 are broadcast to the workers in parts of at most ``PART`` bytes.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null or
 empty label is never learned; a null doc_id counts as held out; a table without
-learnable rows predicts ``und`` throughout; copies get equal predictions; an empty
+learnable rows predicts ``und`` throughout, and ``accept`` then keeps each text that
+has a letter; copies get equal predictions; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -28,9 +32,11 @@ from .common import column, documents, per_batch, texts_of
 
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
-#: Rows of the fit, and labels at most (the most frequent ones).
+#: Rows of the fit, and those of a label at least, about.
 SAMPLE = 6_000
-LABELS = 200
+LEAST = 16
+#: Bytes of weights that are broadcast at a time.
+PART = 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0005
 #: Share of the sample kept apart for the temperature.
@@ -87,10 +93,10 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, counts: list[tuple[str, int]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    share = SAMPLE / len(counts)
-    rate = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, share / n)))])
+    share = max(SAMPLE / len(counts), LEAST)
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, share / n)) for lang, n in counts], "lang string, rate double")
     u = F.expr("pmod(xxhash64(doc_id, text), 1000003) / 1000003D")
-    some = docs.where(u < rate[F.col("lang")])
+    some = docs.join(F.broadcast(rates), "lang").where(u < F.col("rate"))
 
     def rows(batch):
         found = [grams(t) for t in texts_of(batch)]
@@ -127,7 +133,10 @@ class Model:
                 more = nf + g * g
                 z[f] = zf + g - (np.sqrt(more) - np.sqrt(nf)) / ALPHA * w
                 n[f] = more
-        self.weights = -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        for at in range(0, len(z), 1024):  # in place: with many labels these are large
+            zf, nf = z[at : at + 1024], n[at : at + 1024]
+            z[at : at + 1024] = -np.sign(zf) * np.maximum(np.abs(zf) - L1, 0) / ((BETA + np.sqrt(nf)) / ALPHA + L2)
+        self.weights = z
 
     def calibrate(self, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """The temperature of least log loss, by golden-section search."""
@@ -147,13 +156,40 @@ class Model:
             a, b = (a, d) if loss(c) < loss(d) else (c, b)
         self.temperature = math.exp((a + b) / 2)
 
+
+class _Part:
+    """The weights of some labels that are not 0, by feature."""
+
+    def __init__(self, weights: np.ndarray):
+        feature, label = np.nonzero(weights)
+        self.labels, self.values, self.label = weights.shape[1], weights[feature, label].astype(np.float32), label.astype(np.int32)
+        self.start = np.searchsorted(feature, np.arange(len(weights) + 1))
+
+    def logits(self, f: np.ndarray, x: np.ndarray) -> np.ndarray:
+        n = self.start[f + 1] - self.start[f]
+        at = np.repeat(self.start[f] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.label[at], np.repeat(x, n) * self.values[at], self.labels)
+
+
+class Shared:
+    """A model as the workers hold it."""
+
+    def __init__(self, spark: SparkSession, model: Model):
+        slim = copy.copy(model)
+        slim.weights = None
+        self.model = spark.sparkContext.broadcast(slim)
+        each = max(1, PART // (8 * max(1, len(model.weights))))
+        self.parts = [spark.sparkContext.broadcast(_Part(model.weights[:, at : at + each])) for at in range(0, len(model.labels), each)]
+
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.labels or not has_letter(text):
+        model = self.model.value
+        if not model.labels or not has_letter(text):
             return UND, 0.0
         f, c = grams(text)
-        p = _softmax(self.values(f, c) @ self.weights[f] / self.temperature)
+        x = model.values(f, c)
+        p = _softmax(np.concatenate([part.value.logits(f, x) for part in self.parts]) / model.temperature)
         best = int(p.argmax())
-        return self.labels[best], float(p[best])
+        return model.labels[best], float(p[best])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -164,7 +200,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame) -> Model:
     """Learn from ``text`` and ``lang`` of all rows of ``docs`` (with doc_id)."""
     known = docs.where("text is not null and length(lang) > 0").select("doc_id", "text", "lang")
-    counts = [(r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()]
+    counts = [(r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     df = _document_frequencies(known)
     total = sum(n for _, n in counts)
     model = Model(sorted(lang for lang, _ in counts), (np.log((1 + total) / (1 + df)) + 1).astype(np.float32))
@@ -173,18 +209,19 @@ def train(docs: DataFrame) -> Model:
         rows = [(number[lang], f, model.values(f, c)) for lang, f, c in _sample(known, counts)]
         order = np.random.default_rng(1).permutation(len(rows))
         apart = int(len(rows) * CALIBRATE)
-        model.fit([rows[i] for i in order[apart:]])
-        model.calibrate([rows[i] for i in order[:apart]])
-        model.weights = model.weights.astype(np.float32)
+        seen = {rows[i][0] for i in order[apart:]}
+        only = {*{rows[i][0]: int(i) for i in order[:apart] if rows[i][0] not in seen}.values()}  # rare labels
+        model.fit([rows[i] for i in [*order[apart:], *sorted(only)]])
+        model.calibrate([rows[i] for i in order[:apart] if i not in only])
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def rows(batch):
-        got = [shared.value.predict(t) for t in texts_of(batch)]
+        got = [shared.predict(t) for t in texts_of(batch)]
         return {"doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "lang_pred": [x for x, _ in got], "score": [min(1.0, s) for _, s in got]}
 
     return per_batch(docs.select("doc_id", "held_out", "text"), rows, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -193,16 +230,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, as they are, whose language is known with some certainty.
 
-    Rows that are ``und`` or have a score below ``least`` go.
+    Rows that are ``und`` or have a score below ``least`` go; without a model, those
+    whose text has no letter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, learned = Shared(docs.sparkSession, model), bool(model.labels)
+
+    def keep(text: str) -> bool:
+        if not learned:
+            return has_letter(text)
+        lang, score = shared.predict(text)
+        return lang != UND and score >= least
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2_500):
                 batch = whole.slice(at, 2_500)
-                got = (shared.value.predict(t) for t in texts_of(batch))
-                yield batch.filter(pa.array([lang != UND and score >= least for lang, score in got], pa.bool_()))
+                yield batch.filter(pa.array([keep(t) for t in texts_of(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -51,3 +52,25 @@ def test_nothing_to_learn(spark, tmp_path):
     assert [r.lang_pred for r in langid.op10_language_id(spark, f"{tmp_path}/a").collect()] == ["und"]
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert langid.op10_language_id(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    rng = random.Random(7)
+    rows, labels = [], [f"l{k:03}" for k in range(240)]
+    for lang in labels:
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(4)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=12)), lang) for i in range(6 if lang < "l200" else 5)]
+    docs = langid._fold(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), 5).cache()
+    monkeypatch.setattr(langid, "PART", 64 * 8 * langid.DIM)  # four parts
+    model = langid.train(docs)
+    assert model.labels == labels
+    truth = {i: lang for i, _, lang in rows}
+    got = langid.predict(docs, model).collect()
+    right = [r.doc_id for r in got if r.lang_pred == truth[r.doc_id]]
+    assert len(got) == len(rows) and len(right) >= 0.95 * len(rows)
+    assert sum(truth[i] >= "l200" for i in right) >= 0.9 * sum(lang >= "l200" for lang in truth.values())
+
+
+def test_nothing_learned_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "abc def", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.accept(docs, langid.trained(docs)).collect()] == [1]
