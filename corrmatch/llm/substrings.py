@@ -1,7 +1,8 @@
 """Substring deduplication by paragraph MinHash banding.
 
 Two kinds of unit are compared.  Paragraphs are the lines of ``PARAGRAPH`` words or
-more: MinHash signatures over their five-word shingles are banded, paragraphs that
+more, and the blocks of lines between blank ones that hold shorter lines too (text may
+be wrapped) and as many words in all: MinHash signatures over their five-word shingles are banded, paragraphs that
 collide in a band are joined, and the exact Jaccard similarity of their shingles (0.8
 or more) decides.  ``bands`` tunes rows and bands so that a pair at the threshold is
 missed with a probability of 1/1,000 at most.  Passages also begin and end within
@@ -12,8 +13,8 @@ alike wherever it stands.
 
 Units of one class (equal, or connected by links: a component) repeat if they stand
 in two documents.  The document with the smallest doc_id keeps them.  What repeats in a
-document is merged into runs; runs of ``RUN`` words or more count, and those that the
-document does not keep are removed.  Short common phrases and lines are left alone.
+document is merged into runs; runs of ``RUN`` words or more and those with a whole
+paragraph count, and those that the document does not keep are removed.  Short common phrases and lines are left alone.
 
 Scale.  Units and band keys travel as packed arrays and meet in buckets.  Only keys
 that repeat come out; their places are found by another pass with a bitmap of at most
@@ -80,17 +81,18 @@ class Units:
         doc_at = np.concatenate(([0], np.cumsum(sizes)))
         # paragraphs
         at = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
-        long_ = np.diff(at) >= PARAGRAPH
-        self.sets = np.zeros(0, _U)
-        self.set_at = np.zeros(1, np.int64)
-        self.signatures = np.zeros((0, BANDS), _U)
-        first, last = at[:-1][long_], at[1:][long_]
+        short = np.diff(at) < PARAGRAPH
+        new = np.concatenate(([True], (doc[at[1:-1]] != doc[at[1:-1] - 1]) | (line[at[1:-1]] != line[at[1:-1] - 1] + 1)))[: len(short)]
+        block = np.flatnonzero(np.append(new, True))
+        wrapped = (np.diff(block) > 1) & (np.add.reduceat(short, block[:-1]) > 0) if len(short) else np.zeros(0, bool)
+        begin, end = at[block[:-1]][wrapped], at[block[1:]][wrapped]
+        enough = end - begin >= PARAGRAPH
+        first, last = np.concatenate((at[:-1][~short], begin[enough])), np.concatenate((at[1:][~short], end[enough]))
         if len(first):
             all_ = joined(h)
-            ok = np.repeat(long_, np.diff(at))[: len(all_)] & (line[: len(all_)] == line[SIZE - 1 :])
-            self.sets = all_[ok]
             counts = last - first - SIZE + 1
             self.set_at = np.concatenate(([0], np.cumsum(counts)))
+            self.sets = all_[np.repeat(first - self.set_at[:-1], counts) + np.arange(self.set_at[-1])]
             start = self.set_at[:-1]
             minima = np.stack([np.minimum.reduceat(self.sets * m + a, start) for m, a in zip(_MULTIPLY, _ADD)], 1)
             sig = np.zeros((len(first), BANDS), _U)
@@ -229,20 +231,20 @@ def _apart(docs: DataFrame, stars: DataFrame, links: DataFrame, block: int) -> D
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:
-    """Runs (begin, end, removed, keeper) of RUN words or more of one document."""
+    """Runs (begin, end, removed, keeper) of one document, of RUN words or with a whole paragraph."""
     out = []
     for removed in (False, True):
-        begin = end = covered = keeper = None
+        begin = end = covered = keeper = whole = None
         for s in [*(x for x in spans if x["removed"] == removed), None]:
             if s is not None and begin is not None and s["begin"] <= end + GAP:
                 covered += max(0, s["end"] - max(s["begin"], end))
                 end = max(end, s["end"])
-                keeper = min(keeper, s["keeper"])
+                keeper, whole = min(keeper, s["keeper"]), whole or s["whole"]
                 continue
-            if begin is not None and covered >= RUN:
+            if begin is not None and (covered >= RUN or whole):
                 out.append((begin, end, removed, keeper))
             if s is not None:
-                begin, end, covered, keeper = s["begin"], s["end"], s["end"] - s["begin"], s["keeper"]
+                begin, end, covered, keeper, whole = s["begin"], s["end"], s["end"] - s["begin"], s["keeper"], s["whole"]
     return sorted(out)
 
 
@@ -269,11 +271,11 @@ def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def places(batch):
         for ids, u in _slices(batch):
             ok = _passes(shared.value, u.keys)
-            yield {"key": u.keys[ok], "doc_id": ids[u.doc[ok]], "begin": u.begin[ok], "end": u.end[ok]}
+            yield {"key": u.keys[ok], "doc_id": ids[u.doc[ok]], "begin": u.begin[ok], "end": u.end[ok], "whole": np.flatnonzero(ok) < u.paragraphs}
 
-    found = cut(per_batch(docs, places, "key long, doc_id long, begin long, end long").join(keys, "key").drop("key"))
+    found = cut(per_batch(docs, places, "key long, doc_id long, begin long, end long, whole boolean").join(keys, "key").drop("key"))
     kept = found.groupBy("component").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").drop("other")
-    spans = found.join(kept, "component").select("doc_id", F.struct("begin", "end", F.expr("doc_id <> keeper").alias("removed"), "keeper").alias("span"))
+    spans = found.join(kept, "component").select("doc_id", F.struct("begin", "end", F.expr("doc_id <> keeper").alias("removed"), "keeper", "whole").alias("span"))
     spans = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
     def runs(batch):

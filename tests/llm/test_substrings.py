@@ -120,3 +120,15 @@ def test_a_family_around_one_paragraph_stays_together(spark, tmp_path):
     assert not [i for i in apart if i]  # MinHash itself loses none here
     whole = {r.doc_id for r in got if r.begin == 0 and r.n_words == 50 and r.keeper == 0}
     assert whole == set(range(401))
+
+
+def test_wrapped_and_short_paragraphs_count(spark, tmp_path):
+    rng = random.Random(8)
+    filler = lambda: " ".join(words(rng, 40))
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    long_, short = words(rng, 96), words(rng, 24)
+    edited = [f"edit{i}" if i in (20, 70) else w for i, w in enumerate(long_)]  # 82 of 102 shingles alike
+    rows = [(k, f"{filler()}\n\n{wrapped(w, n)}\n\n{filler()}") for k, (w, n) in enumerate([(long_, 12), (edited, 12), (long_, 15)])]
+    rows += [(10 + k, f"{filler()}\n{' '.join(short)}\n{filler()}") for k in range(3)]
+    got = {r.doc_id: (r.begin, r.n_words, r.removed, r.keeper) for r in run(spark, rows, tmp_path)}
+    assert got == {**{k: (40, 96, k > 0, 0) for k in range(3)}, **{10 + k: (40, 24, k > 0, 10) for k in range(3)}}
