@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import NAME_SIMILARITY
 from ..functions import similarity, text
-from .resolve import cut
+from .lineage import cut
 
 #: Longer stems are compared by length and letters only after this many equal ones met.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_-."

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import HIGH, UNCERTAIN, Request, Settings
 from ..functions import similarity
 from ..operators import candidates, report, resolve
-from ..operators.resolve import cut
+from ..operators.lineage import cut
 from ..sources.workspace import scan
 
 TAKEN = "l_ord long, r_ord long, phase string, match_type string, similarity double"
