@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, shared_folder
+
+__all__ = ["ARROW", "column", "cut", "documents", "groups_for", "partitions", "per_batch", "read", "release", "shared_folder", "texts_of"]
+
 #: Spark SQL names of the Arrow types that the operators return.
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
@@ -27,24 +30,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, which driver and executors share.
+#: Bytes of (compressed) input for each group of a shuffle, about.
+GROUP = 32 << 20
+#: Spark's own answer where it does not know a size.
+_UNKNOWN = 1 << 60
 
-    Only where that is unset (tests, a laptop) a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corrmatch-"))
-    return sc._jsc.sc().getCheckpointDir().get()
 
+def groups_for(docs: DataFrame, least: int, each: int = GROUP) -> int:
+    """Groups into which a shuffle of all texts is dealt: by their bytes, ``least`` at least.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    The bytes are those that the plan states, or else those of the texts, summed.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= _UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // each))
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system: a worker outlives the task that needed it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -66,7 +69,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
                 got = fn(batch.slice(at, rows))
                 for cols in [] if got is None else [got] if isinstance(got, dict) else got:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[n], k) for n, k in zip(names, kinds)], names)
-                _release()
+                release()
 
     return df.mapInArrow(run, schema)
 
@@ -79,6 +82,3 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
-
-def spread(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    return df.repartition(n, *[F.col(k) for k in keys])

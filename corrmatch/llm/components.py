@@ -1,42 +1,5 @@
-"""Connected components of a distributed edge table (large-star, small-star)."""
+"""Connected components of links, as the engine finds them."""
 
-from __future__ import annotations
+from ..operators.components import both_ways, components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def _toward(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.join(least, "u")
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``id, component`` for each end of ``links`` (columns a, b).
-
-    ``component`` is the smallest id that links reach.  Each round replaces every
-    edge by an edge to the smallest neighbour; minima are pre-aggregated before
-    they are shuffled, and the join back is one that Spark can split, so a node
-    with very many links does not meet in one task.  The rounds stop when the
-    edges no longer change (about the logarithm of a component's size).  Links of
-    a node with itself are ignored; no links give no rows.
-    """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before = None
-    while (state := _state(edges)) != before:
-        before = state
-        # large star: each larger neighbour of u moves to the smallest of u's neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = _toward(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours move to the smallest of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = _toward(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return leaves.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+__all__ = ["both_ways", "components"]

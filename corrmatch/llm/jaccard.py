@@ -18,9 +18,10 @@ Scale.  Signatures travel as packed arrays, one row for a batch and a bucket, an
 equal sets of a batch only once.  In a bucket, sets that share a signature become
 candidates: all pairs of a small group, but of a large one only the pairs with its
 smallest member.  These are verified on the whole sets.  What is then still apart
-within the large groups of one smallest member is compared in blocks, with a bound on
-the difference of two sets (differences of counts in cells) before the exact test.  Copies meet as
-one class, so a group of copies never multiplies.
+within the large groups of one smallest member meets in blocks of whole sets, where
+sizes, counts in cells and then the exact test decide; as soon as a block has linked two
+sets, it takes their links as one.  Copies meet as one class, so a group of copies never
+multiplies.
 
 Defined cases: null and empty texts and texts without words have the empty set,
 ``n_shingles`` 0, and are linked with nothing; a text of fewer than five words is
@@ -35,22 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, cut, documents, partitions, per_batch, texts_of
-from .components import components
+from .common import column, cut, documents, groups_for, partitions, per_batch, texts_of
+from .components import both_ways, components
 from .shingles import intersection, mix, shingle_sets
 
 #: Documents of which the signatures are made at a time.
 SLICE = 2_000
 #: Larger groups give pairs with their smallest member first.
 SMALL = 16
-#: Rows on each side of a block of a large group.
-BLOCK = 2_048
+#: Sets, and elements of sets, on each side of a block of a large group, about.
+BLOCK, ELEMENTS = 2_048, 2_000_000
 #: Cells of the counts by which sets are first compared: about a quarter of the size of a large set.
 FEWEST, MOST = 128, 8_192
 #: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
 BITMAP = 1 << 27
 #: Sets of one neighbourhood that are verified in one group, about.
-TOGETHER = 2_000
+TOGETHER = 250
 _U = np.uint64
 
 
@@ -194,7 +195,7 @@ def _meet(table: pa.Table, small: int) -> pa.Table:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys' (column key) residues; never more than ``BITMAP`` bits."""
+    """A bitmap of the keys' (column key, repeated or not) residues; never more than ``BITMAP`` bits."""
     n = keys.count()
     bits = min(BITMAP, 1 << max(10, (32 * n).bit_length()))
     at = keys.select(F.expr(f"pmod(key, {bits})").alias("at"))
@@ -204,35 +205,43 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out.view(_U)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, sets) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets have a similarity of 0.8 or more.
+def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.int64((len(bitmap) << 6) - 1)
+    return (bitmap[place >> 6] >> (place & 63).astype(_U) & _U(1)).astype(bool)
 
-    ``named`` has the key of each id, ``sets(batch, wanted)`` yields (key, set) of a
-    batch's rows that ``wanted`` (keys to a mask) lets through.  Texts are not
+
+def _held(docs: DataFrame, sets, bitmap) -> DataFrame:
+    """key, hashes of the sets of ``docs`` that a broadcast bitmap of keys lets through.
+
+    ``sets(batch, wanted)`` yields {key: set} of a batch's rows that ``wanted`` (keys to a
+    mask) lets through.
+    """
+
+    def rows(batch):
+        for found in sets(batch, lambda keys: _passes(bitmap.value, keys)):
+            yield {"key": list(found), "hashes": [s.tobytes() for s in found.values()]}
+
+    return per_batch(docs, rows, "key long, hashes binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame | None, sets) -> DataFrame:
+    """Those of the pairs (a < b) whose whole sets have a similarity of 0.8 or more.
+
+    ``named`` has the key of each id; without it ids are keys.  Texts are not
     shuffled: each task passes on the few sets that a bitmap of the keys lets through.
-    Pairs meet their sets in groups.  Those of one neighbourhood (two steps toward the
+    Pairs meet their sets in groups.  Those of one neighbourhood (a step toward the
     smallest id) go to one group, so that a set travels once for many pairs; a
     neighbourhood of more than ``TOGETHER`` sets is divided.
     """
     spark = docs.sparkSession
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    label = both.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("near"))
-    label = both.join(label.select(F.col("u").alias("v"), "near"), "v").groupBy("u").agg(F.min("near").alias("near"))
-    pairs = cut(pairs.join(label.select(F.col("u").alias("a"), "near"), "a"))
+    label = both_ways(pairs).groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("a"), F.least("u", "near").alias("near"))
+    pairs = pairs.join(label, "a")
     crowd = pairs.groupBy("near").agg(F.ceil(F.greatest(F.approx_count_distinct("b") / TOGETHER, F.count("*") / (10 * TOGETHER))).alias("parts"))
-    place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * partitions(spark)}) as int)")
+    place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * groups_for(docs, partitions(spark))}) as int)")
     pairs = cut(pairs.join(crowd, "near").select("a", "b", place.alias("grp")))
-    members = pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct().join(named.select("key", "id"), "id")
-    members = cut(members)
-    bitmap = spark.sparkContext.broadcast(_bitmap(members.select("key").distinct()))
-
-    def rows(batch):
-        def wanted(keys: np.ndarray) -> np.ndarray:
-            at = keys & np.int64((len(bitmap.value) << 6) - 1)
-            return (bitmap.value[at >> 6] >> (at & 63).astype(_U) & _U(1)).astype(bool)
-
-        for found in sets(batch, wanted):
-            yield {"key": list(found), "hashes": [s.tobytes() for s in found.values()]}
+    members = pairs.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = cut(members.withColumn("key", F.col("id")) if named is None else members.join(named.select("key", "id"), "id"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(members.select("key")))
 
     def exact(own: pa.Table, held: pa.Table) -> pa.Table:
         known = {i: np.frombuffer(h, _U) for i, h in zip(held.column("id").to_pylist(), held.column("hashes").to_pylist())}
@@ -243,8 +252,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame, sets) -> Data
             ok.append(100 * shared >= 80 * (len(x) + len(y) - shared))
         return own.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = per_batch(docs, rows, "key long, hashes binary").join(members, "key").select(F.col("grp").alias("place"), "id", "hashes")
-    return cut(pairs.groupBy("grp").cogroup(held.groupBy("place")).applyInArrow(exact, "a long, b long"))
+    held = _held(docs, sets, bitmap).join(members, "key").select(F.col("grp").alias("place"), "id", "hashes")
+    links = cut(pairs.groupBy("grp").cogroup(held.groupBy("place")).applyInArrow(exact, "a long, b long"))
+    bitmap.destroy()
+    return links
 
 
 def _sets_of_keys(batch: pa.RecordBatch, wanted):
@@ -267,49 +278,67 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return per_batch(near.select("a", "b", "na", "nb", "ca", "cb"), rows, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    return _verified(docs.select("text"), pairs, named, _sets_of_keys)
-
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) between sets of a block that carry different labels.
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Pairs of a block that are apart so far and may be similar by size and cells.
-
-    Two sets may meet in the groups of several leaders; that of the smallest counts.
+    Two labels that a link of the block joins are one from then on, so there are fewer
+    links than labels.
     """
     get = lambda c: table.column(c).combine_chunks()
-    ids, n, label, side = (get(c).to_numpy() for c in ("id", "n", "label", "side"))
-    whole = get("cells").to_pylist()
-    cells = np.minimum([_folded(c, min(map(len, whole))) for c in whole], 255).astype(np.int16)
-    leaders = [frozenset(x) for x in get("leaders").to_pylist()]
-    leader = table.column("grp")[0].as_py()
+    ids, side, label = get("id").to_numpy(), get("side").to_numpy(), np.unique(get("label").to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(h, _U) for h in get("hashes").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    start = np.cumsum(n) - n
+    width = min(MOST, max(FEWEST, 1 << int(np.median(n) // 4).bit_length()))
+    cells = np.stack([np.minimum(np.bincount((x & _U(width - 1)).astype(np.int64), minlength=width), 255) for x in sets]).astype(np.int16)
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.zeros(int(element.max()) + 1, bool)
     diagonal = bool(table.column("diagonal")[0].as_py())
     left, right = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     order = right[np.argsort(n[right], kind="stable")]
-    sizes = n[order]
-    out = []
-    for i in left:  # only sizes that allow a link are looked at
+    sizes, out = n[order], []
+    for i in left.tolist():  # only sizes that allow a link are looked at
         lo, hi = np.searchsorted(sizes, (80 * n[i] + 99) // 100), np.searchsorted(sizes, 100 * n[i] // 80, "right")
         near = order[lo:hi]
         near = near[label[near] != label[i]]
-        near = near[ids[near] > ids[i]] if diagonal else near
+        near = near[near > i] if diagonal else near
+        # a full cell may hold more than it says: it is left out
         near = near[9 * (np.abs(cells[near] - cells[i]) * ((cells[near] < 255) & (cells[i] < 255))).sum(1) <= n[near] + n[i]]
-        out += [(ids[i], ids[j]) for j in near.tolist() if min(leaders[i] & leaders[j]) == leader and 9 * _apart(whole[i], whole[j]) <= n[i] + n[j]]
+        if not len(near):
+            continue
+        own[element[start[i] : start[i] + n[i]]] = True
+        ends = np.cumsum(n[near])
+        shared = np.add.reduceat(own[element[np.repeat(start[near] - ends + n[near], n[near]) + np.arange(ends[-1])]], ends - n[near], dtype=np.int64)
+        own[element[start[i] : start[i] + n[i]]] = False
+        linked = near[100 * shared >= 80 * (n[near] + n[i] - shared)]
+        for j in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            label[label == label[j]] = label[i]
     two = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(two.min(1) if len(two) else two[:, 0], pa.int64()), "b": pa.array(two.max(1) if len(two) else two[:, 1], pa.int64())})
-
-
-def _rest(groups: DataFrame, named: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """Pairs of large groups whose members the links so far do not connect."""
-    rows = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = rows.join(open_.select("grp", F.ceil(F.col("size") / block).cast("int").alias("nb")), "grp").join(named.select("id", "n", "cells"), "id")
-    rows = rows.join(groups.groupBy("id").agg(F.collect_set("grp").alias("leaders")), "id")
-    rows = rows.withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
-    rows = rows.select(
-        "grp", "id", "n", "cells", "label", "leaders", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
-        F.expr("if(i <= j, 0, 1)").alias("side"), F.expr("i = j").alias("diagonal"),
+    return pa.table({"a": pa.array(two[:, 0], pa.int64()), "b": pa.array(two[:, 1], pa.int64())})
+
+
+def _rest(docs: DataFrame, groups: DataFrame, links: DataFrame, named: DataFrame | None, sets, block: int) -> DataFrame:
+    """``links`` and those between members of large groups (grp, id) that they leave apart."""
+    spark = docs.sparkSession
+    rows = groups.join(components(links), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
+    open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    rows = cut(rows.join(open_.select("grp"), "grp"))
+    if rows.isEmpty():
+        return links
+    keys = rows.select(F.col("id").alias("key"), "id") if named is None else rows.join(named.select("key", "id"), "id")
+    keys = cut(keys.select("key", "id").distinct())
+    bitmap = spark.sparkContext.broadcast(_bitmap(keys))
+    held = _held(docs, sets, bitmap).join(keys, "key").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    held = cut(held.withColumn("n", F.octet_length("hashes") / 8))
+    bitmap.destroy()
+    rows = rows.join(held.select("id", "n"), "id")
+    sizes = rows.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / ELEMENTS)).cast("int").alias("nb"))
+    rows = rows.join(sizes, "grp").withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
+    rows = rows.join(held.drop("n"), "id").select(
+        "grp", "id", "label", "hashes", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.expr("if(i <= j, 0, 1)").alias("side"), F.expr("i = j").alias("diagonal"),
     )
-    return rows.groupBy("grp", "x", "y").applyInArrow(_blocks, "a long, b long").distinct()
+    return links.unionByName(cut(rows.groupBy("grp", "x", "y").applyInArrow(_block_links, "a long, b long")))
 
 
 def join(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -323,17 +352,16 @@ def join(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     table = cut(sets_of(docs))
     classes = cut(table.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("cells").alias("cells")))
     table, named = table.drop("cells"), classes.select(F.col("k1").alias("key"), F.col("class_id").alias("id"), "n", "cells")
-    met = cut(_signed(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, large boolean"))
+    met = cut(_signed(docs, 3 * groups_for(docs, partitions(spark))).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, large boolean"))
     pairs, stars = met.select("a", "b").distinct(), met.where("large").select("a", "b").distinct()
     # members of large groups, by the key of their smallest member
     groups = stars.select(F.col("a").alias("grp"), F.col("b").alias("key")).unionByName(stars.select(F.col("a").alias("grp"), F.col("a").alias("key")).distinct())
     groups = cut(groups.join(named.select("key", "id"), "key").select("grp", "id"))
     pairs = pairs.join(named.toDF("a", "ia", "na", "ca"), "a").join(named.toDF("b", "ib", "nb", "cb"), "b")
     pairs = pairs.drop("a", "b").where("ia <> ib").withColumns({"a": F.least("ia", "ib"), "b": F.greatest("ia", "ib")})
-    links = _linked(cut(_possible(pairs).distinct()), docs, named)
-    more = cut(_rest(groups, named, components(links), block))
-    if not more.isEmpty():
-        links = links.unionByName(_linked(more, docs, named))
+    texts = docs.select("text")
+    links = _verified(texts, cut(_possible(pairs).distinct()), named, _sets_of_keys)
+    links = _rest(texts, groups, links, named, _sets_of_keys, block)
     names = components(links).select(F.col("id").alias("class_id"), "component")
     rows = table.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left").join(names, "class_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))

@@ -19,12 +19,12 @@ paragraph count, and those that the document does not keep are removed.  Short c
 Scale.  Units and band keys travel as packed arrays and meet in buckets.  Only keys
 that repeat come out; their places are found by another pass with a bitmap of at most
 16 MiB and an exact join.  Equal units are one class, so copies give no pairs; a band
-that many classes share gives the pairs with its smallest member and those of
-neighbours first.  What is then still apart within such bands of one smallest member is
-compared in blocks, by sizes and counts in cells, and verified on whole sets.
+that many classes share gives the pairs with its smallest member first.  What is then
+still apart within such bands of one smallest member meets in blocks of whole sets.
+A slice of texts sends two documents of a unit at most, so a line that all share stays small.
 
 Defined cases: null and empty texts have no units; rows with one doc_id are one
-document (a null doc_id is below all others); a passage that repeats within one
+document (a null doc_id is below all others) and are cut each by its own text; a passage that repeats within one
 document only is kept; an empty table gives no rows; extra columns pass unchanged.
 """
 
@@ -38,9 +38,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, documents, partitions, per_batch, texts_of
+from .common import column, cut, documents, groups_for, partitions, per_batch, texts_of
 from .components import components
-from .jaccard import BLOCK, _bitmap, _cells, _rest, _verified
+from .jaccard import BLOCK, _bitmap, _passes, _rest, _verified
 from .shingles import SIZE, hashed, joined, mix
 
 PARAGRAPH = 20
@@ -130,21 +130,38 @@ def _slices(batch: pa.RecordBatch):
         yield ids[at : at + SLICE], Units(texts[at : at + SLICE])
 
 
+def _pairs(key: np.ndarray, value: np.ndarray, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, value); with ``ends`` only the least and the greatest value of a key."""
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    fresh = first.copy()
+    fresh[1:] |= value[1:] != value[:-1]
+    if ends:  # of a key's equal greatest values the first one is fresh
+        key, value, first = key[fresh], value[fresh], first[fresh]
+        fresh = first | np.append(first[1:], True)[: len(first)]
+    return key[fresh], value[fresh]
+
+
 def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
-    """Keys by bucket: of units with their doc_ids, of bands with their classes."""
+    """Keys by bucket: of units with doc_ids, of bands with classes.
+
+    Two documents make a unit repeat, so a slice sends two doc_ids of a unit at most,
+    however many of its texts hold it.
+    """
 
     def rows(batch):
         for ids, u in _slices(batch):
             out = {"bucket": [], "band": [], "keys": [], "values": []}
             classes = np.repeat(u.keys[: u.paragraphs], BANDS)
             for band, key, value in ((False, u.keys.view(_U), ids[u.doc]), (True, u.signatures.ravel(), classes)):
-                two = np.unique(np.stack((key, value.view(_U)), 1), axis=0) if band is None else np.stack((key, value.view(_U)), 1)
-                bucket = (two[:, 0] % _U(buckets)).astype(np.int64)
-                two = two[np.argsort(bucket, kind="stable")]
+                key, value = _pairs(key, value, not band)
+                bucket = (key % _U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, value = key[order], value[order]
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
                 for b in np.flatnonzero(np.diff(cuts)):
-                    part = two[cuts[b] : cuts[b + 1]]
-                    for col, v in zip(out.values(), (b, band, part[:, 0].tobytes(), part[:, 1].tobytes())):
+                    for col, v in zip(out.values(), (b, band, key[cuts[b] : cuts[b + 1]].tobytes(), value[cuts[b] : cuts[b + 1]].tobytes())):
                         col.append(v)
             yield out
 
@@ -182,9 +199,7 @@ def _meet(table: pa.Table) -> pa.Table:
         i, j = np.triu_indices(g, 1)
         pairs.append(np.stack((rows[:, i].ravel(), rows[:, j].ravel()), 1))
     for a, n in zip(starts[:-1][sizes > SMALL], sizes[sizes > SMALL]):
-        rows = value[a : a + n]
-        pairs.append(np.stack((rows[:-1], rows[1:]), 1))
-        stars.append(np.stack((np.full(n - 1, rows[0]), rows[1:]), 1))
+        stars.append(np.stack((np.full(n - 1, value[a]), value[a + 1 : a + n]), 1))
     two, star = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(stars), axis=0)
     both = np.concatenate((two, star))
     return pa.table({
@@ -194,42 +209,12 @@ def _meet(table: pa.Table) -> pa.Table:
     })
 
 
-def _passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.int64((len(bitmap) << 6) - 1)
-    return (bitmap[place >> 6] >> (place & 63).astype(_U) & _U(1)).astype(bool)
-
-
 def _sets_of_classes(batch: pa.RecordBatch, wanted):
     for _, u in _slices(batch):
         keys = u.keys[: u.paragraphs]
         yield {int(keys[i]): np.unique(u.sets[u.set_at[i] : u.set_at[i + 1]]) for i in np.flatnonzero(wanted(keys))}
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs of classes whose shingles have a similarity of 0.8 or more."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return _verified(docs, pairs, keys.select("id", F.col("id").alias("key")), _sets_of_classes)
-
-
-def _apart(docs: DataFrame, stars: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """Pairs of classes of large bands (stars of smallest members) that links do not connect."""
-    groups = stars.select(F.col("a").alias("grp"), F.col("b").alias("id")).unionByName(stars.select(F.col("a").alias("grp"), F.col("a").alias("id")).distinct())
-    labels = cut(components(links))
-    label = F.coalesce("component", "id")
-    open_ = groups.join(labels, "id", "left").groupBy("grp").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi")
-    groups = cut(groups.join(open_, "grp", "left_semi"))
-    if groups.isEmpty():
-        return links.limit(0)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select(F.col("id").alias("key")).distinct()))
-
-    def rows(batch):
-        for found in _sets_of_classes(batch, lambda keys: _passes(bitmap.value, keys)):
-            yield {"id": list(found), "n": [len(s) for s in found.values()], "cells": [_cells(s) for s in found.values()]}
-
-    named = cut(per_batch(docs, rows, "id long, n long, cells binary").groupBy("id").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
-    return cut(_rest(groups, named, labels, block))
-
-
 def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:
     """Runs (begin, end, removed, keeper) of one document, of RUN words or with a whole paragraph."""
     out = []
@@ -248,45 +233,50 @@ def _runs(spans: list[dict]) -> list[tuple[int, int, bool, int]]:
     return sorted(out)
 
 
-def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, begin, end (words), n_words, removed, keeper of each repeated passage.
-
-    Rows exist for documents with repeated passages only.  ``keeper`` is the smallest
-    doc_id in which a part of the passage stands.
-    """
+def _passages(docs: DataFrame, block: int) -> DataFrame:
+    """doc_id, row (a hash of the text), and the columns of ``repeats``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    met = cut(_dealt(docs, 3 * partitions(spark)).groupBy("bucket").applyInArrow(_meet, "a long, b long, large boolean"))
-    links = _linked(docs, cut(met.where("b is not null").select("a", "b").distinct()))
-    stars = cut(met.where("large").select("a", "b").distinct())
-    if not stars.isEmpty():
-        more = _apart(docs, stars, links, block)
-        if not more.isEmpty():
-            links = links.unionByName(_linked(docs, more))
-    names = cut(components(links))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    met = cut(_dealt(docs, 3 * groups_for(docs, partitions(spark))).groupBy("bucket").applyInArrow(_meet, "a long, b long, large boolean"))
+    pairs, stars = (met.where(w).select("a", "b").distinct() for w in ("b is not null", "large"))
+    links = _verified(docs, cut(pairs), None, _sets_of_classes)
+    groups = stars.select(F.col("a").alias("grp"), F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))).distinct()
+    names = cut(components(_rest(docs, cut(groups), links, None, _sets_of_classes, block)))
     keys = met.where("b is null").select(F.col("a").alias("id")).unionByName(names.select("id")).distinct()
     keys = cut(keys.join(names, "id", "left").select(F.col("id").alias("key"), F.coalesce("component", "id").alias("component")))
     shared = spark.sparkContext.broadcast(_bitmap(keys.select("key")))
 
     def places(batch):
-        for ids, u in _slices(batch):
+        texts = column(batch, "row").to_numpy()
+        for at, (ids, u) in zip(range(0, len(texts), SLICE), _slices(batch)):
             ok = _passes(shared.value, u.keys)
-            yield {"key": u.keys[ok], "doc_id": ids[u.doc[ok]], "begin": u.begin[ok], "end": u.end[ok], "whole": np.flatnonzero(ok) < u.paragraphs}
+            doc = u.doc[ok]
+            yield {"key": u.keys[ok], "doc_id": ids[doc], "row": texts[at + doc], "begin": u.begin[ok], "end": u.end[ok], "whole": np.flatnonzero(ok) < u.paragraphs}
 
-    found = cut(per_batch(docs, places, "key long, doc_id long, begin long, end long, whole boolean").join(keys, "key").drop("key"))
+    found = cut(per_batch(docs, places, "key long, doc_id long, row long, begin long, end long, whole boolean").join(keys, "key").drop("key"))
+    shared.destroy()
     kept = found.groupBy("component").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").drop("other")
-    spans = found.join(kept, "component").select("doc_id", F.struct("begin", "end", F.expr("doc_id <> keeper").alias("removed"), "keeper", "whole").alias("span"))
-    spans = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    spans = found.join(kept, "component").select("doc_id", "row", F.struct("begin", "end", F.expr("doc_id <> keeper").alias("removed"), "keeper", "whole").alias("span"))
+    spans = spans.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
     def runs(batch):
-        out = {"doc_id": [], "begin": [], "end": [], "n_words": [], "removed": [], "keeper": []}
-        for doc_id, spans in zip(column(batch, "doc_id").to_pylist(), column(batch, "spans").to_pylist()):
+        out = {"doc_id": [], "row": [], "begin": [], "end": [], "n_words": [], "removed": [], "keeper": []}
+        for doc_id, row, spans in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "row", "spans"))):
             for begin, end, removed, keeper in _runs(spans):
-                for col, v in zip(out.values(), (None if doc_id == _NULL else doc_id, begin, end, end - begin, removed, None if keeper == _NULL else keeper)):
+                for col, v in zip(out.values(), (None if doc_id == _NULL else doc_id, row, begin, end, end - begin, removed, None if keeper == _NULL else keeper)):
                     col.append(v)
         return out
 
-    return per_batch(spans, runs, "doc_id long, begin long, end long, n_words long, removed boolean, keeper long")
+    return per_batch(spans, runs, "doc_id long, row long, begin long, end long, n_words long, removed boolean, keeper long")
+
+
+def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, begin, end (words), n_words, removed, keeper of each repeated passage.
+
+    Rows exist for documents with repeated passages only.  ``keeper`` is the smallest
+    doc_id in which a part of the passage stands.
+    """
+    return _passages(docs, block).drop("row")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -308,19 +298,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay; a text may become empty.
     """
-    spans = repeats(docs).where("removed").groupBy(F.col("doc_id").alias("__own")).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__own"]), "left")
+    spans = _passages(docs, BLOCK).where("removed").groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    own = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes
+    doc_id, text, n_chars = (own[docs.columns.index(c)] if c in docs.columns else None for c in ("doc_id", "text", "n_chars"))
+    rows = docs.toDF(*own)
+    rows = rows.join(spans, rows[doc_id].eqNullSafe(spans["doc_id"]) & (F.xxhash64(text) == spans["row"]), "left")
 
     @F.pandas_udf("string")
     def clean(text, spans):
         return text.combine(spans, lambda t, s: without(t, [(x["begin"], x["end"]) for x in s]) if s is not None and len(s) and t is not None else t)
 
-    cut_out = spans["__spans"].isNotNull()
-    text = F.when(cut_out, clean(docs["text"], spans["__spans"])).otherwise(docs["text"])
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut_out, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"]))
-    return rows.select(docs.columns)
+    cut_out = F.col("spans").isNotNull()
+    rows = rows.withColumn("new", F.when(cut_out, clean(F.when(cut_out, F.col(text)), "spans")).otherwise(F.col(text)))
+    out = {c: F.col(c) for c in own} | {text: F.col("new")}
+    if n_chars:
+        kind = docs.schema["n_chars"].dataType
+        out[n_chars] = F.when(cut_out, F.length("new").cast(kind)).otherwise(F.col(n_chars))
+    return rows.select(*[out[c].alias(name) for c, name in zip(own, docs.columns)])
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
