@@ -1,13 +1,14 @@
 """GIF media columns: LZW decoding, palettes, disposal, transparency, frames.
 
-``decode`` reads any GIF87a/89a stream.  ``frames`` is the operator: one row for
-each frame of a binary GIF column, with its timing, its composed picture and its
-colour histogram.  ``encode_samples`` stores bytes losslessly as 8-bit samples of
-a grey-scale GIF, the form in which ``op1_gif_media`` keeps each text.
-
-Defined cases: a null GIF has no frames; a stream that is not a GIF, or that ends
-early, gives one row with a null ``frame`` and the reason in ``error``; an empty
-text is stored as one row of 64 zero samples; equal texts give equal rows.
+``play`` reads any GIF87a/89a stream, frame by frame.  ``frames`` is the operator: one
+row for each frame of a binary GIF column, with its timing, its composed picture and
+its colour histogram.  ``encode_samples`` stores bytes losslessly as the 8-bit samples
+of a GIF with 256 colours, the form in which ``op1_gif_media`` keeps each text; the
+same reader takes it back: samples are the payload, pictures give the histogram.
+
+Defined cases: a null GIF has no frames; a stream that is not a GIF, that ends early,
+or whose screen has more than ``PIXELS`` pixels, gives one row with a null ``frame`` and
+the reason in ``error``; an empty text is stored as one row of 64 zero samples; equal texts give equal rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +29,8 @@ WIDTH = 64
 #: Rows of a frame: a longer payload becomes several timed frames.
 FRAME_ROWS = 4096
 DELAY_CS = 10
+#: Largest screen that is composed (256 MiB): a header of a few bytes can ask for 17 GB.
+PIXELS = 1 << 26
 
 
 class GifError(ValueError):
@@ -165,11 +169,12 @@ def _unblock(data: bytes, at: int) -> tuple[bytes, int]:
         at += n
 
 
-_GREY = bytes(x for i in range(256) for x in (i, i, i))
+#: Colours of the stored samples: three bits of red and of green, two of blue.
+_COLOURS = bytes(x for i in range(256) for x in (i >> 5 << 5, (i >> 2 & 7) << 5, (i & 3) << 6))
 
 
 def encode_samples(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS) -> bytes:
-    """A grey-scale GIF whose samples are the bytes of ``payload``.
+    """A GIF whose samples are the bytes of ``payload``; each frame clears the one before.
 
     The length of ``payload`` is a positive multiple of ``width``.  At most
     ``rows`` rows make a frame, so the screen never exceeds GIF's 65,535 rows.
@@ -178,11 +183,11 @@ def encode_samples(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS) -
         raise ValueError("the payload must be a positive multiple of the width")
     step = width * rows
     height = min(rows, len(payload) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _COLOURS]
     for i in range(0, len(payload), step):
         part = payload[i : i + step]
         out += [
-            b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0),
+            b"\x21\xf9\x04", struct.pack("<BHBB", 2 << 2, DELAY_CS, 0, 0),
             b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0),
             b"\x08", _blocks(lzw_encode(part)),
         ]
@@ -199,23 +204,31 @@ def _rows_of(indices: np.ndarray, interlaced: bool) -> np.ndarray:
     return out
 
 
-def decode(data: bytes, compose: bool = True) -> list[Frame]:
-    """All frames of a GIF; with ``compose`` each with the picture it shows."""
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
+    """The colours of a palette as RGBA in one number each, and where it ends."""
+    n = 2 << (flags & 7)
+    if at + 3 * n > len(data):
+        raise GifError("a palette ends early")
+    rgba = np.full((n, 4), 255, np.uint8)
+    rgba[:, :3] = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3)
+    return rgba.view(np.uint32).ravel(), at + 3 * n
+
+
+def play(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF, each with the picture it shows, one at a time."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF")
     sw, sh, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, palette = 13, None
-    if flags & 0x80:
-        n = 3 << (flags & 7) + 1
-        palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-        at += n
-    canvas = np.zeros((sh, sw, 4), np.uint8)
-    frames, delay, disposal, clear_index = [], 0, 0, None
+    if sw * sh > PIXELS:
+        raise GifError("the screen is too large")
+    palette, at = _palette(data, 13, flags) if flags & 0x80 else (None, 13)
+    canvas = np.zeros((sh, sw), np.uint32)
+    delay, disposal, clear_index = 0, 0, None
     while at < len(data):
         kind = data[at]
         at += 1
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             label = data[at] if at < len(data) else 0
             body, at = _unblock(data, at + 1)
@@ -226,43 +239,44 @@ def decode(data: bytes, compose: bool = True) -> list[Frame]:
         if kind != 0x2C or at + 9 > len(data):
             raise GifError("an unknown block")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at)
-        at += 9
-        colours = palette
-        if packed & 0x80:
-            n = 3 << (packed & 7) + 1
-            colours = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
-            at += n
+        colours, at = _palette(data, at + 9, packed) if packed & 0x80 else (palette, at + 9)
         if at >= len(data) or not 2 <= data[at] <= 8:
             raise GifError("a code size out of range")
         bits = data[at]
         body, at = _unblock(data, at + 1)
         indices = np.frombuffer(lzw_decode(body, bits, w * h), np.uint8).reshape(h, w)
         indices = _rows_of(indices, bool(packed & 0x40))
-        picture = canvas
-        if compose:
-            if colours is None:
-                raise GifError("no palette")
-            if indices.size and int(indices.max()) >= len(colours):
-                raise GifError("a sample outside the palette")
-            before = canvas.copy() if disposal == 3 else None
-            seen = indices[: max(0, sh - top), : max(0, sw - left)]
-            area = canvas[top : top + h, left : left + w]
-            opaque = np.ones(seen.shape, bool) if clear_index is None else seen != clear_index
-            area[opaque] = np.concatenate((colours[seen], np.full((*seen.shape, 1), 255, np.uint8)), 2)[opaque]
-            picture = canvas.copy()
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(Frame(left, top, w, h, delay, disposal, clear_index, indices, picture))
+        if colours is None:
+            raise GifError("no palette")
+        if indices.size and int(indices.max()) >= len(colours):
+            raise GifError("a sample outside the palette")
+        before = canvas.copy() if disposal == 3 else None
+        seen = indices[: max(0, sh - top), : max(0, sw - left)]
+        area = canvas[top : top + h, left : left + w]
+        if clear_index is None:
+            area[:] = colours[seen]
+        else:
+            np.copyto(area, colours[seen], where=seen != clear_index)
+        picture = canvas.copy().view(np.uint8).reshape(sh, sw, 4)
+        if disposal == 2:
+            area[:] = 0
+        elif disposal == 3:
+            canvas = before
+        yield Frame(left, top, w, h, delay, disposal, clear_index, indices, picture)
         delay, disposal, clear_index = 0, 0, None
     raise GifError("no trailer")
 
 
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a GIF."""
+    return list(play(data))
+
+
 def histogram(picture: np.ndarray) -> np.ndarray:
     """Counts of the visible pixels in 4 x 4 x 4 colour cells (red, green, blue)."""
-    rgb = picture[..., :3][picture[..., 3] > 0].astype(np.int64) >> 6
-    return np.bincount(rgb[:, 0] * 16 + rgb[:, 1] * 4 + rgb[:, 2], minlength=64)
+    red, green, blue, shown = (picture[..., i] for i in range(4))
+    cell = (red >> 2 & 48) | (green >> 4 & 12) | blue >> 6
+    return np.bincount(cell[shown > 0], minlength=64)
 
 
 FRAMES = "key long, frame int, at_ms long, delay_ms long, width int, height int, disposal int, transparent int, rgba binary, histogram string, error string"
@@ -306,21 +320,22 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def store(docs: DataFrame) -> DataFrame:
     """Keep each text as a GIF, read the stored bytes back and describe them.
 
-    ``feature`` is the colour histogram of the stored samples over the 64 grey
-    levels that four neighbouring values share, as shares in 1/10,000.
+    ``feature`` is the colour histogram of all the frames as shown, in shares of 1/10,000.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = {n.split()[0]: [] for n in STORED.split(", ")}
         for doc_id, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
             media = encode_samples(payload_of(text))
-            shown = decode(media, compose=False)
-            back = b"".join(f.indices.tobytes() for f in shown)
-            levels = np.bincount(np.frombuffer(back, np.uint8) >> 2, minlength=64) * 10_000 // len(back)
+            digest, tail, n, at, count, colours = hashlib.sha256(), b"", 0, 0, 0, np.zeros(64, np.int64)
+            for f in play(media):
+                part = f.indices.tobytes()
+                digest.update(part)
+                tail, n, at, count = (tail + part)[-64:], n + len(part), at + 10 * f.delay_cs, count + 1
+                colours += histogram(f.picture)
             values = (
-                doc_id, len(text.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]),
-                len(media), hashlib.sha256(media).hexdigest(), ".".join(f"{x:x}" for x in levels.tolist()),
-                len(shown), sum(10 * f.delay_cs for f in shown),
+                doc_id, len(text.encode()), n, digest.hexdigest(), zlib.crc32(tail),
+                len(media), hashlib.sha256(media).hexdigest(), ".".join(f"{x:x}" for x in (colours * 10_000 // colours.sum()).tolist()), count, at,
             )
             for col, v in zip(out.values(), values):
                 col.append(v)

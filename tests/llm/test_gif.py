@@ -82,6 +82,34 @@ def test_frames_of_a_column(spark):
     assert sum(map(int, got[0].histogram.split(","))) == 4
 
 
+def test_broken_streams_are_errors():
+    whole = two_frames(2)
+    rng = random.Random(9)
+    for n in range(len(whole)):  # cut anywhere, palettes and codes included
+        with pytest.raises(gif.GifError):
+            gif.decode(whole[:n])
+    for _ in range(2000):
+        data = bytearray(whole)
+        for _ in range(rng.randrange(1, 4)):
+            data[rng.randrange(6, len(data))] = rng.randrange(256)
+        try:
+            gif.decode(bytes(data))
+        except gif.GifError:
+            pass
+    with pytest.raises(gif.GifError, match="too large"):
+        gif.decode(whole[:6] + struct.pack("<HH", 65535, 65535) + whole[10:])
+
+
+def test_feature_is_the_histogram_of_the_pictures(spark, tmp_path):
+    spark.createDataFrame([(1, "aAz ~"), (2, "x" * 300_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in gif.op1_gif_media(spark, str(tmp_path)).collect():
+        payload = gif.payload_of("aAz ~" if r.doc_id == 1 else "x" * 300_000)
+        counts = [0] * 64
+        for b in payload:
+            counts[(b >> 6) * 16 + (b >> 3 & 3) * 4 + (b & 3)] += 1
+        assert r.feature == ".".join(f"{x * 10_000 // len(payload):x}" for x in counts)
+
+
 def test_query(spark, tmp_path):
     long = "wörd " * 60_000
     rows = [(1, "a", 1), (2, None, 2), (3, "", 3), (4, long, 4), (5, "a", 5), (5, "a", 5), (6, "x" * 64, 0)]
