@@ -36,6 +36,16 @@ def test_shards(spark, tmp_path):
     assert (resumed == back[70:170]).all()
 
 
+def test_slots_do_not_depend_on_the_split(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 5, *range(40)]), " ".join(rng.choices(["the", "of", "and"], k=rng.choice([0, 9, 90])))) for _ in range(200)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for k in (1, 5):
+        order.materialise(docs.repartition(k), f"file://{tmp_path}/{k}", length=16, rows=64).collect()
+        got.append(order.read(f"file://{tmp_path}/{k}", 0, 10**6, length=16, rows=64))
+    assert len(got[0]) > 400 and (got[0] == got[1]).all()
+
+
 def test_query_and_empty_table(spark, tmp_path):
     got = order.op4_training_order(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
