@@ -10,8 +10,8 @@ another hash and packed again, until no piece is left to exchange or ``ROUNDS``
 have passed.
 
 Scale.  Only the ids' lengths and checksums leave the tokeniser, and a partition's
-size does not depend on the table's.  A hot source or very many copies are dealt
-like all other rows, as the hash takes the piece's own id and its place.
+size does not depend on the table's.  A hot source, very many copies or null doc_ids are
+dealt like all other rows, as the hash takes a number that each piece has of its own.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; only
 texts of more than ``capacity`` ids (with the end) are cut; rows with a repeated
@@ -38,7 +38,7 @@ CAPACITY = 2048
 TARGET = 1_000
 ROUNDS = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long, round int, gap int, exchange boolean"
+PACKED = f"own long, {PIECES}, sequence_id long, offset long, round int, gap int, exchange boolean"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -121,7 +121,7 @@ def _packer(turn: int, capacity: int):
         gap = len(room) - lower_bound(lengths, capacity)
         least = max(range(len(room)), key=room.__getitem__)
         again = np.array(bins) == least if room[least] else np.zeros(len(bins), bool)
-        cols = {n: table.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        cols = {n: table.column(n) for n in ("own", "doc_id", "piece", "start", "length", "ids_crc32")}
         cols |= {
             "sequence_id": pa.array((turn << 56 | bucket << 24) + np.array(bins, np.int64)),
             "offset": pa.array(offsets, pa.int64()),
@@ -140,26 +140,26 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, rou
     ``round`` is the exchange after which the piece found its place, ``gap`` the
     bins of its partition beyond the certified bound.
     """
-    todo, done = cut(pieces(docs, path or tokens.default_path(), capacity)), None
+    todo, done = cut(pieces(docs, path or tokens.default_path(), capacity).withColumn("own", F.monotonically_increasing_id())), None
     before = None
     for turn in range(rounds + 1):
         n = todo.count()
         if not n or n == before and turn > 2:
             break
         before, buckets = n, max(1, math.ceil(n / TARGET))
-        dealt = todo.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, {turn}), {buckets})"))
+        dealt = todo.withColumn("bucket", F.expr(f"pmod(xxhash64(own, {turn}), {buckets})"))
         packed = cut(dealt.groupBy("bucket").applyInArrow(_packer(turn, capacity), PACKED))
         last = turn == rounds or buckets == 1
         kept = packed if last else packed.where("not exchange")
         done = kept if done is None else done.unionByName(kept)
         if last:
-            return done.drop("exchange")
-        todo = packed.where("exchange").select(*[c.split()[0] for c in PIECES.split(", ")])
+            return done.drop("own", "exchange")
+        todo = packed.where("exchange").select("own", *[c.split()[0] for c in PIECES.split(", ")])
     if done is None:
         done = todo.selectExpr("*", "0L AS sequence_id", "0L AS offset", "0 AS round", "0 AS gap", "false AS exchange")
     elif n:
         done = done.unionByName(packed.where("exchange"))
-    return done.drop("exchange")
+    return done.drop("own", "exchange")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
