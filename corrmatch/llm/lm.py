@@ -10,11 +10,12 @@ the filter's errors).  The history of the first word is the end of a text.
 
 Scale.  Counts of all training texts meet in buckets as packed arrays of 64-bit
 hashes; a bucket yields its share of the vocabulary and a filter of its own, of
-``BITS`` bits an entry.  The filters are broadcast in parts of at most ``PART`` bytes:
-more bigrams than one part holds are scored in several passes, whose sums add up,
-as a token's probability needs its own bigram only; a number given to each row
-before the passes says which sums belong together.  The vocabulary is never broadcast: the texts of a slot ask the buckets for the counts of their own distinct
-words and get them back as one table.  Texts travel to their slots as compressed blocks.
+``BITS`` bits an entry.  Filters of ``PART`` bytes at most in all are broadcast.  Larger
+ones stay where they are, and the texts of a slot ask the buckets for the levels of their
+own distinct bigrams, as they ask for the counts of their distinct words: the vocabulary
+is never broadcast.  Both ways probe the same filters and give the same scores, and each
+reads the texts as often.  Texts travel to their slots as compressed blocks; buckets and
+slots grow with the input's bytes.
 
 Defined cases: a null or empty text is one token, the end; without training texts
 all counts are 0; a null doc_id counts as the text ''; repeated rows are scored each;
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, cut, documents, partitions, per_batch, texts_of
+from .common import column, cut, documents, groups_for, partitions, per_batch, texts_of
 from .shingles import hashed, mix
 
 BITS = 7
@@ -167,7 +168,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         batch = batch.take(pc.sort_indices(batch.column(batch.schema.get_field_index("slot"))))
         slot = column(batch, "slot").to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.zeros(1, int)
-        texts, out = batch.select(["row", "doc_id", "held_out", "text"]), []
+        texts, out = batch.select(["doc_id", "held_out", "text"]), []
         for a, b in zip(cuts, cuts[1:]):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -175,73 +176,107 @@ def _blocks(docs: DataFrame) -> DataFrame:
             out.append(sink.getvalue().to_pybytes())
         return {"slot": slot[cuts[:-1]], "block": out}
 
-    return per_batch(docs.select("slot", "row", "doc_id", "held_out", "text"), rows, "slot long, block binary", rows=SLICE)
+    return per_batch(docs.select("slot", "doc_id", "held_out", "text"), rows, "slot long, block binary", rows=SLICE)
 
 
 def _opened(blocks: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks.column("block").to_pylist()])
 
 
-def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The distinct words of each slot, by the bucket that knows their counts."""
+def _asked(blocks: DataFrame, buckets: int, bigrams: bool) -> DataFrame:
+    """The distinct words of each slot, and its bigrams, by the bucket that knows them."""
 
     def ask(table: pa.Table) -> pa.Table:
-        found = [hashed([t or "" for t in pa.ipc.open_stream(b).read_all().column("text").to_pylist()])[0] for b in table.column("block").to_pylist()]
-        h = np.unique(np.append(np.concatenate([np.unique(f) for f in found]), END))
-        order, cuts = _dealt(h, buckets)
-        h = h[order]
-        used = np.flatnonzero(np.diff(cuts))
-        return pa.table({
-            "slot": pa.array([table.column("slot")[0].as_py()] * len(used), pa.int64()),
-            "bucket": pa.array(used, pa.int32()),
-            "hashes": pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-        })
-
-    return blocks.groupBy("slot").applyInArrow(ask, "slot long, bucket int, hashes binary")
-
-
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    h, c = (np.frombuffer(known.column(n)[0].as_py() if len(known) else b"", t) for n, t in (("hashes", _U), ("counts", np.int64)))
-    out = []
-    for x in asked.column("hashes").to_pylist():
-        x = np.frombuffer(x, _U)
-        at = np.minimum(np.searchsorted(h, x), max(0, len(h) - 1))
-        out.append((np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)).tobytes())
-    return pa.table({"slot": asked.column("slot"), "hashes": asked.column("hashes"), "counts": pa.array(out, pa.binary())})
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
-
-
-def _scorer(shared, n: int, v: int, first: bool, mu: float):
-    """Score the texts of a slot; base scores and counts in the first pass only."""
-
-    def score(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        words, pairs = [np.array([END])], [np.zeros(0, _U)]
+        for b in table.column("block").to_pylist():
+            texts = [t or "" for t in pa.ipc.open_stream(b).read_all().column("text").to_pylist()]
+            if bigrams:
+                tokens, _ = _tokens(texts)
+                pairs.append(np.unique(_bigrams(tokens)))
+            else:
+                tokens = hashed(texts)[0]
+            words.append(np.unique(tokens))
+        out = {"bucket": [], "bigram": [], "hashes": []}
+        for bigram, parts in ((False, words), (True, pairs)):
+            h = np.unique(np.concatenate(parts))
+            order, cuts = _dealt(h, buckets)
+            h = h[order]
+            for b in np.flatnonzero(np.diff(cuts)):
+                for col, v in zip(out.values(), (b, bigram, _sent(h[cuts[b] : cuts[b + 1]], bigram))):
+                    col.append(v)
+        kinds = {"bucket": pa.int32(), "bigram": pa.bool_(), "hashes": pa.binary()}
+        slot = pa.array([table.column("slot")[0].as_py()] * len(out["bucket"]), pa.int64())
+        return pa.table({"slot": slot} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    return blocks.groupBy("slot").applyInArrow(ask, "slot long, bucket int, bigram boolean, hashes binary")
+
+
+def _answer(buckets: int):
+    """What a bucket knows of the hashes it is asked for: counts of words, levels of bigrams."""
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h, c = (np.frombuffer(known.column(n)[0].as_py() if len(known) else b"", t) for n, t in (("hashes", _U), ("counts", np.int64)))
+        filter_ = Filter(buckets, list(zip(known.column("bucket").to_pylist(), known.column("filter").to_pylist())))
+        out = []
+        for bigram, x in zip(asked.column("bigram").to_pylist(), asked.column("hashes").to_pylist()):
+            x = _received(x, bigram)
+            if bigram:
+                levels = np.zeros(len(x), np.uint8)
+                mine, found = filter_.levels(x)
+                levels[mine] = found
+                out.append(levels.tobytes())
+                continue
+            at = np.minimum(np.searchsorted(h, x), max(0, len(h) - 1))
+            out.append((np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)).tobytes())
+        return pa.table({"slot": asked.column("slot"), "bigram": asked.column("bigram"), "hashes": asked.column("hashes"), "found": pa.array(out, pa.binary())})
+
+    return answer
+
+
+ANSWERED = "slot long, bigram boolean, hashes binary, found binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+
+
+def _table(answers: pa.Table, bigram: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The answers on words or on bigrams, by hash."""
+    mine = answers.filter(answers.column("bigram") if bigram else pc.invert(answers.column("bigram")))
+    h = _received(b"".join(mine.column("hashes").to_pylist()), bigram)
+    found = np.frombuffer(b"".join(mine.column("found").to_pylist()), np.uint8 if bigram else np.int64)
+    order = np.argsort(h)
+    return h[order], found[order]
+
+
+def _scorer(shared, n: int, v: int, mu: float):
+    """Score the texts of a slot, by a broadcast filter or by the levels it has asked for."""
+
+    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _opened(blocks)
-        h, c = (np.frombuffer(b"".join(counts.column(x).to_pylist()), t) for x, t in (("hashes", _U), ("counts", np.int64)))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
+        h, c = _table(answers, False)
+        pairs, levels = _table(answers, True)
         out = {x.split()[0]: [] for x in SCORED.split(", ")}
-        numbers, ids, held, all_texts = (texts.column(x).to_pylist() for x in ("row", "doc_id", "held_out", "text"))
-        filter_ = shared.value
+        ids, held, all_texts = (texts.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))
         for at in range(0, len(ids), SLICE // 8):
             tokens, sizes = _tokens([t or "" for t in all_texts[at : at + SLICE // 8]])
             count = c[np.searchsorted(h, tokens)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             p = (count + 1.0) / (n + v + 1.0)
-            mine, level = filter_.levels(_bigrams(tokens))
-            before = np.where(mine > 0, count[mine - 1], count[-1])
+            level = np.zeros(len(tokens))
+            if shared is None:
+                level[:] = levels[np.searchsorted(pairs, _bigrams(tokens))]
+            else:
+                mine, found = shared.value.levels(_bigrams(tokens))
+                level[mine] = found
+            before = np.concatenate((count[-1:], count[:-1]))  # texts follow an end
             seen = np.minimum(np.where(level > 0, np.exp2(level - 1.0), 0.0), before)
-            smooth = np.log10((seen + mu * p[mine]) / (before + mu))
-            of = lambda x, who: np.bincount(who, x, len(sizes))
-            out["row"] += numbers[at : at + SLICE // 8]
+            smooth = np.log10((seen + mu * p) / (before + mu))
+            of = lambda x: np.bincount(owner, x, len(sizes))
             out["doc_id"] += ids[at : at + SLICE // 8]
             out["held_out"] += held[at : at + SLICE // 8]
-            out["n_tokens"] += (sizes * first).tolist()
-            out["n_known"] += (of(count > 0, owner).astype(np.int64) * first).tolist()
-            out["base"] += (of(np.log10(p), owner) * first).tolist()
-            out["model"] += of(smooth, owner[mine]).tolist()
-        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
+            out["n_tokens"] += sizes.tolist()
+            out["n_known"] += of(count > 0).astype(np.int64).tolist()
+            out["base"] += of(np.log10(p)).tolist()
+            out["model"] += of(smooth).tolist()
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
         return pa.table({k: pa.array(x, kinds.get(k, pa.float64())) for k, x in out.items()})
 
     return score
@@ -250,33 +285,22 @@ def _scorer(shared, n: int, v: int, first: bool, mu: float):
 def score(docs: DataFrame, folds: int = 7, held: int = 2, mu: float = MU, bits: int = BITS, part_bytes: int = PART) -> DataFrame:
     """Learn from the rows whose fold is not ``held`` and score all rows."""
     spark = docs.sparkSession
-    buckets, slots = partitions(spark), 2 * partitions(spark)
+    docs = docs.select("doc_id", "text")
+    buckets = groups_for(docs, partitions(spark))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    docs = docs.select("doc_id", "text", (fold == held).alias("held_out"), F.expr(f"pmod(xxhash64(doc_id, text), {slots})").alias("slot"))
+    docs = docs.select("doc_id", "text", (fold == held).alias("held_out"), F.expr(f"pmod(xxhash64(doc_id, text), {2 * buckets})").alias("slot"))
     shards = cut(_counted(docs.where("not held_out"), buckets).groupBy("bucket").applyInArrow(lambda t: _shard(t, bits), "bucket int, hashes binary, counts binary, filter binary, bits long, tokens long, types long"))
-    n, v = (x or 0 for x in shards.agg(F.sum("tokens"), F.sum("types")).first())
-    parts, room = [[]], part_bytes
-    for r in shards.select("bucket", "bits").orderBy("bucket").collect():
-        if parts[-1] and r.bits // 8 > room:
-            parts.append([])
-            room = part_bytes
-        parts[-1].append(r.bucket)
-        room -= r.bits // 8
+    n, v, size = (x or 0 for x in shards.agg(F.sum("tokens"), F.sum("types"), F.sum(F.octet_length("filter"))).first())
+    shared = None
+    if size <= part_bytes:
+        found = shards.select("bucket", "filter").toArrow()
+        shared = spark.sparkContext.broadcast(Filter(buckets, list(zip(found.column("bucket").to_pylist(), found.column("filter").to_pylist()))))
+        del found
     # the same columns in both uses of the slots, so that Spark deals the texts once
-    slotted = _blocks(docs.withColumn("row", F.monotonically_increasing_id()))
-    if len(parts) > 1:  # all passes must see the same numbers
-        slotted = cut(slotted)
-    answers = _asked(slotted, buckets).groupBy("bucket").cogroup(shards.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_answer, "slot long, hashes binary, counts binary")
-    scored = None
-    for i, part in enumerate(parts):
-        found = shards.where(F.col("bucket").isin(part)).select("bucket", "filter").toArrow() if part else None
-        rows = [] if found is None else list(zip(found.column("bucket").to_pylist(), found.column("filter").to_pylist()))
-        shared = spark.sparkContext.broadcast(Filter(buckets, rows))
-        del found, rows
-        more = slotted.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_scorer(shared, n, v, i == 0, mu), SCORED)
-        scored = more if scored is None else scored.unionByName(more)
-    if len(parts) > 1:
-        scored = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")])
+    slotted = _blocks(docs)
+    known = shards.select("bucket", "hashes", "counts", (F.lit(b"") if shared else F.col("filter")).alias("filter"))
+    answers = _asked(slotted, buckets, shared is None).groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer(buckets), ANSWERED)
+    scored = slotted.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(_scorer(shared, n, v, mu), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 
