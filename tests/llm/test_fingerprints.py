@@ -2,7 +2,11 @@ import collections
 import hashlib
 import random
 
+import pytest
+import xxhash
+
 from corrmatch.llm import fingerprints
+from corrmatch.llm.common import documents
 
 NONE = -(1 << 63)
 
@@ -16,12 +20,13 @@ def likeness(a, b):
     return sum((a & b).values()) / sum((a | b).values())
 
 
-def check(spark, rows, path):
+def check(spark, rows, path, **sizes):
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, next string").repartition(3).write.parquet(f"{path}/documents.parquet")
-    got = fingerprints.op8_weighted_sampling(spark, str(path))
+    got = fingerprints.fingerprint(documents(spark, str(path)), **sizes) if sizes else fingerprints.op8_weighted_sampling(spark, str(path))
     assert not any(k in got._jdf.queryExecution().toString() for k in ("Python", "Pandas", "ArrowEval"))
     got = got.collect()
-    order = sorted(((NONE if i is None else i, t or "") for i, t in rows), reverse=True)
+    order = sorted(((NONE if i is None else i, xxhash.xxh64((t or "").encode(), 42).intdigest() & (1 << 63) - 1, t or "") for i, t in rows), reverse=True)
+    order = [(i, t) for i, _, t in order]
     texts = {}
     expected = []
     for (i, t), (_, follow) in zip(order, order[1:] + order[:1]):
@@ -40,22 +45,34 @@ def check(spark, rows, path):
     return errors
 
 
-def test_likeness_estimates_the_generalised_jaccard_similarity(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE", 16)
+@pytest.mark.parametrize("sizes", [{}, {"each": 8, "ranges": 4, "within": 8}])
+def test_likeness_estimates_the_generalised_jaccard_similarity(spark, tmp_path, sizes):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(40)]
     rows = [(i * 3, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 30, 200])))) for i in range(300)]
-    rows += [(5000 + i, rows[7][1]) for i in range(40)] + [(10000, None), (10001, ""), (10002, "  "), (None, "null id"), (3, "again é日本"), (3, "again"), (20000, "word " * 30000)]
-    errors = check(spark, rows, tmp_path)
+    rows += [(5000 + i, rows[7][1]) for i in range(40)] + [(10000, None), (10001, ""), (10002, "  "), (3, "again é日本"), (3, "again"), (20000, "word " * 30000)]
+    rows += [(rng.choice([None, 66]), f"{i} " + " ".join(rng.choices(vocabulary, k=rng.choice([3, 30, 200])))) for i in range(200)]
+    rows += [rows[-1]] * 3
+    errors = check(spark, rows, tmp_path, **sizes)
     assert abs(sum(errors) / len(errors)) < 0.02
     assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.1
 
 
-def test_ranges_do_not_change_the_result(spark, monkeypatch):
+def test_hot_ids_are_divided(spark):
+    docs = spark.range(4000).selectExpr("if(id < 2500, -7, id) AS key", "xxhash64(id) & 9223372036854775807 AS h")
+    got = fingerprints._ranged(docs, each=20, ranges=16, within=32)
+    assert max(r["count"] for r in got.groupBy("range").count().collect()) <= 80
+    rows = [(r.key, r.h, r.range) for r in got.collect()]
+    assert [r for _, _, r in sorted(rows)] == sorted(r for _, _, r in rows)
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    one = {tuple(r) for r in fingerprints.fingerprint(docs).collect()}
-    monkeypatch.setattr(fingerprints, "RANGE", 2)
-    assert one == {tuple(r) for r in fingerprints.fingerprint(docs).collect()}
+    got = fingerprints.fingerprint(docs).collect()
+    parts = lambda x: [x[i : i + 8] for i in range(0, len(x), 8)]
+    for r in got:
+        assert r.near_edited == sum(a == b for a, b in zip(parts(r.fingerprint), parts(r.edited_fingerprint))) / 32
+    assert {tuple(r) for r in got} == {tuple(r) for r in fingerprints.fingerprint(docs, each=2).collect()}
 
 
 def test_single_document_and_none(spark, tmp_path):
