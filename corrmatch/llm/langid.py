@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, per_batch, texts_of
+from .common import column, documents, per_batch, release, texts_of
 
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
@@ -102,9 +102,9 @@ def _sample(docs: DataFrame, counts: list[tuple[str, int]]) -> list[tuple[str, n
         found = [grams(t) for t in texts_of(batch)]
         return {"lang": column(batch, "lang"), "features": [f.astype("<i4").tobytes() for f, _ in found], "counts": [c.astype("<i4").tobytes() for _, c in found]}
 
-    got = per_batch(some.select("lang", "text"), rows, "lang string, features binary, counts binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["features"], r["counts"]))
-    return [(r["lang"], np.frombuffer(r["features"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got]
+    got = per_batch(some.select("lang", "text"), rows, "lang string, features binary, counts binary").toArrow()
+    got = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "features", "counts"))))
+    return [(lang, np.frombuffer(f, "<i4"), np.frombuffer(c, "<i4")) for lang, f, c in got]
 
 
 class Model:
@@ -206,13 +206,15 @@ def train(docs: DataFrame) -> Model:
     model = Model(sorted(lang for lang, _ in counts), (np.log((1 + total) / (1 + df)) + 1).astype(np.float32))
     if counts:
         number = {lang: i for i, lang in enumerate(model.labels)}
-        rows = [(number[lang], f, model.values(f, c)) for lang, f, c in _sample(known, counts)]
+        rows = [(number[lang], f, model.values(f, c).astype(np.float32)) for lang, f, c in _sample(known, counts)]
         order = np.random.default_rng(1).permutation(len(rows))
         apart = int(len(rows) * CALIBRATE)
         seen = {rows[i][0] for i in order[apart:]}
         only = {*{rows[i][0]: int(i) for i in order[:apart] if rows[i][0] not in seen}.values()}  # rare labels
         model.fit([rows[i] for i in [*order[apart:], *sorted(only)]])
         model.calibrate([rows[i] for i in order[:apart] if i not in only])
+        del rows
+        release()
     return model
 
 
