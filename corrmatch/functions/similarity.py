@@ -39,10 +39,11 @@ DECLARED = {
 }
 ANYWHERE = r"\b(?:class|interface|record|struct|enum|trait|module|namespace|function|func|fn|def|sub)\s+([A-Za-z_]\w*)"
 # Names that say nothing.
-NOISE = frozenset(
-    "main this self new return if else for while do switch case break continue try catch finally throw throws public private protected static "
-    "void int string bool true false null None undefined var let const get set toString hashCode equals".split()
-)
+NOISE = frozenset((
+    "main", "this", "self", "new", "return", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "try", "catch",
+    "finally", "throw", "throws", "public", "private", "protected", "static", "void", "int", "string", "bool", "true", "false", "null",
+    "None", "undefined", "var", "let", "const", "get", "set", "toString", "hashCode", "equals",
+))
 _PYTHON = {p: re.compile(p.replace("(?md)", "(?m)")) for p in (text.BLOCK, text.SLASHES, text.QUOTED, text.HASH, text.MARKUP, text.DASHES, text.SEMICOLON)}
 _LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'')
 _TOKEN = re.compile(r"\w+|[^\w\s]")

@@ -18,6 +18,8 @@ from ..operators import candidates, report, resolve
 from ..operators.lineage import cut
 from ..sources.workspace import scan
 
+#: Columns that connect the candidates of a phase.
+GROUPED = {"2": "filename"}
 TAKEN = "l_ord long, r_ord long, phase string, match_type string, similarity double"
 
 
@@ -59,7 +61,7 @@ def phase_binary(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = candidates.same_name(l, r).withColumn("dir_sim", similarity.folder_similarity("l_dir", "r_dir"))
     data = lambda f, s: f.select(F.col("ord").alias(f"{s}_ord"), F.sha2("content", 256).alias(f"{s}_sha"))
     pairs = pairs.join(data(l, "l"), "l_ord").join(data(r, "r"), "r_ord").withColumn("same", F.coalesce((F.col("l_sha") == F.col("r_sha")).cast("int"), F.lit(0)))
-    taken = resolve.greedy(pairs.select("l_ord", "r_ord", "same", "dir_sim"), "same", "dir_sim")
+    taken = resolve.greedy(pairs.select("l_ord", "r_ord", "filename", "same", "dir_sim"), "same", "dir_sim", group="filename")
     body = lambda f, s: f.select(F.col("ord").alias(f"{s}_ord"), F.substring("content", 1, similarity.BINARY_CAP).alias(f"{s}_head"))
     sim = F.when(F.col("same") == 1, 100.0).otherwise(similarity.binary_similarity("l_head", "r_head"))
     taken = taken.join(body(l, "l"), "l_ord").join(body(r, "r"), "r_ord")
@@ -74,7 +76,7 @@ def edges(phase: str, left: DataFrame, right: DataFrame, cfg: Settings, judged:
     l, r = _text(left), _text(right)  # noqa: E741
     if phase == "2":
         least = min(HIGH, cfg.llm_min_sim if judged else max(UNCERTAIN, cfg.llm_min_sim)) if cfg.max_llm_per_file else HIGH
-        return candidates.scored(candidates.same_name(l, r).select("l_ord", "r_ord"), l, r, least), "sim"
+        return candidates.scored(candidates.same_name(l, r).select("l_ord", "r_ord", "filename"), l, r, least), "sim"
     if phase == "3":
         least = min(HIGH, cfg.llm_min_sim) if judged and cfg.max_llm_per_file else HIGH
         found = candidates.scored(candidates.similar_name(l, r), l, r, least)
@@ -105,7 +107,7 @@ def compare(left: DataFrame, right: DataFrame, settings: Settings = Settings(),
         found, rank = edges(phase, free(l, taken, "l"), free(r, taken, "r"), settings, bool(judge))
         kind = "content" if phase == "3b" else "deterministic"
         if judge is None:
-            got = resolve.greedy(accepted(phase, found, settings), rank).select("l_ord", "r_ord", F.lit(phase).alias("phase"), F.lit(kind).alias("match_type"), F.col("sim").alias("similarity"))
+            got = resolve.greedy(accepted(phase, found, settings), rank, group=GROUPED.get(phase)).select("l_ord", "r_ord", F.lit(phase).alias("phase"), F.lit(kind).alias("match_type"), F.col("sim").alias("similarity"))
         else:
             nul = lambda f, s: f.select(F.col("ord").alias(f"{s}_ord"), (F.instr("text", "\0") > 0).alias(f"{s}_nul"))
             found = found.join(nul(l, "l"), "l_ord").join(nul(r, "r"), "r_ord").withColumn("nul", F.col("l_nul") | F.col("r_nul"))

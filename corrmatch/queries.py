@@ -132,7 +132,7 @@ def greedy_same_name(spark, sf_dir):
     """One-to-one choice among files of one name, by likeness of length."""
     l, r = sides(spark, sf_dir)  # noqa: E741
     pairs = candidates.same_name(l, r).join(l.select(F.col("ord").alias("l_ord"), F.length("text").alias("a")), "l_ord").join(r.select(F.col("ord").alias("r_ord"), F.length("text").alias("b")), "r_ord")
-    return resolve.greedy(pairs.select("l_ord", "r_ord", similarity.length_bound(F.col("a"), F.col("b")).alias("score")), "score").select("l_ord", "r_ord")
+    return resolve.greedy(pairs.select("l_ord", "r_ord", "filename", similarity.length_bound(F.col("a"), F.col("b")).alias("score")), "score", group="filename").select("l_ord", "r_ord")
 
 
 BAND = "x AS (SELECT l.ord AS l_ord, r.ord AS r_ord, 200.0 * least(length(l.text), length(r.text)) / (length(l.text) + length(r.text)) AS bound FROM l JOIN r ON 200.0 * least(length(l.text), length(r.text)) / (length(l.text) + length(r.text)) >= 60)"
@@ -335,5 +335,5 @@ def correspond_by_name(spark, sf_dir):
     l, r, matches = _matched(spark, sf_dir)
     free_l, free_r = report.leftovers(l, matches, "l"), report.leftovers(r, matches, "r")
     found, rank = correspond.edges("2", free_l, free_r, correspond.Settings(), False)
-    taken = resolve.greedy(correspond.accepted("2", found, correspond.Settings()), rank)
+    taken = resolve.greedy(correspond.accepted("2", found, correspond.Settings()), rank, group="filename")
     return matches.unionByName(taken.select("l_ord", "r_ord", F.lit("2").alias("phase"), F.lit("deterministic").alias("match_type"), F.col("sim").alias("similarity")))
