@@ -6,9 +6,15 @@ string literals use possessive loops, which neither overflow the stack nor backt
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow
+
 # Patterns of comments and string literals.
 BLOCK, SLASHES, QUOTED, HASH = r"(?s)/\*.*?\*/", r"(?md)//.*?$", "(?s)('''.*?'''|\"\"\".*?\"\"\")", r"(?md)#.*?$"
 MARKUP, DASHES, SEMICOLON = r"(?s)<!--.*?-->", r"(?md)--.*?$", r"(?md);.*?$"
@@ -103,6 +109,24 @@ def middle_out(text: Column, limit: int = 6000) -> Column:
     return F.when(n <= limit, text).otherwise(parts)
 
 
+def middle_out_of(text: str, limit: int = 6000) -> str:
+    """``middle_out`` of one text, for an arbiter's request."""
+    if len(text) <= limit:
+        return text
+    head, middle = int(limit * 0.40), int(limit * 0.35)
+    start = len(text) // 2 - middle // 2
+    return "\n/* ... truncated ... */\n".join((text[:head], text[start : start + middle], text[-(limit - head - middle - 40) :]))
+
+
+def score_of(answer: str, thinking: str = "") -> int | None:
+    """``score`` of one answer."""
+    said = re.sub(r"(?s)<think>.*?(?:</think>|\Z)", "", answer or "").strip() or (thinking or "").strip()
+    if not re.fullmatch(r"\d+", said):
+        said = re.sub(r"(?i)\s*(?:/|out\s+of)\s*100\b", "", said)
+    found = re.findall(r"\d+", said)
+    return min(100, int(found[-1])) if found else None
+
+
 def score(answer: Column, thinking: Column) -> Column:
     """The percentage that an arbiter's answer ends with; null if it has none."""
     said = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?(?:</think>|\z)", ""))
@@ -113,6 +137,12 @@ def score(answer: Column, thinking: Column) -> Column:
     return F.when(F.length(F.regexp_replace(last, "^0+", "")) > 3, 100).when(last.isNotNull(), F.least(F.lit(100), last.cast("int")))
 
 
-def folded(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def without_accents(text: str) -> str:
+    """Lower case without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
+@arrow("string")
+def folded(text: pd.Series) -> pd.Series:
+    """Lower case without the accents of letters, whatever their script."""
+    return text.map(without_accents, na_action="ignore")

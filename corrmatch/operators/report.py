@@ -81,10 +81,14 @@ def search(rows: DataFrame, query: str, *cols: str) -> DataFrame:
     query = query.strip()
     if not query:
         return rows
-    hay = text.folded(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
-    wanted = text.folded(F.lit(query))
+    # names in plain letters need no Python
+    whole = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    plain = whole.rlike("^\\p{ASCII}*$")
+    hay = F.when(plain, whole).otherwise(text.folded(F.when(~plain, whole)))
+    query = text.without_accents(query)
+    wanted = F.lit(query)
     words = F.forall(F.split(wanted, r"\s+"), lambda w: F.contains(hay, w))
-    letters = "".join(c for c in query.lower() if not c.isspace())
+    letters = "".join(c for c in query if not c.isspace())
     close = F.lit(False) if len(letters) < 3 else hay.rlike("".join(f"{_quoted(c)}.{{0,3}}?" for c in letters))
     return rows.where(F.contains(hay, wanted) | words | close)
 

@@ -7,7 +7,6 @@
 from __future__ import annotations
 
 import json
-import re
 import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import profile
+from ..functions.text import middle_out_of as middle_out
+from ..functions.text import score_of as score
 
 # Limits of a request.
 PROBE_SECONDS, SECONDS, TEMPERATURE, TOKENS, LIMIT = 3, 120, 0.05, 256, 6000
@@ -33,25 +34,6 @@ FILE B: {b}
 Answer with a single integer from 0 to 100."""
 
 
-def middle_out(text: str, limit: int = LIMIT) -> str:
-    """``functions.text.middle_out`` of one text."""
-    # Shares, mark and room for the marks.
-    if len(text) <= limit:
-        return text
-    head, middle, mark = int(limit * 0.40), int(limit * 0.35), "\n/* ... truncated ... */\n"
-    start = len(text) // 2 - middle // 2
-    return mark.join((text[:head], text[start : start + middle], text[-(limit - head - middle - 40) :]))
-
-
-def score(answer: str, thinking: str = "") -> int | None:
-    """``functions.text.score`` of one answer."""
-    said = re.sub(r"(?s)<think>.*?(?:</think>|\Z)", "", answer or "").strip() or (thinking or "").strip()
-    if not re.fullmatch(r"\d+", said):
-        said = re.sub(r"(?i)\s*(?:/|out\s+of)\s*100\b", "", said)
-    found = re.findall(r"\d+", said)
-    return min(100, int(found[-1])) if found else None
-
-
 @dataclass
 class HttpArbiter:
     base: str
@@ -76,7 +58,7 @@ class HttpArbiter:
         lines = [profile.prompt_line(s, *profile.language_of(f["text"], f["extension"]), f["extension"], f["text_encoding"]) for s, f in (("A", a), ("B", b))]
         body = {
             "model": self.model, "system": profile.system_prompt(*lines), "stream": False, "options": {"temperature": TEMPERATURE, "num_predict": TOKENS},
-            "prompt": PROMPT.format(a=a["filename"], b=b["filename"], left=middle_out(a["text"]), right=middle_out(b["text"])),
+            "prompt": PROMPT.format(a=a["filename"], b=b["filename"], left=middle_out(a["text"], LIMIT), right=middle_out(b["text"], LIMIT)),
         }
         try:
             try:
@@ -91,11 +73,23 @@ class HttpArbiter:
             return None
 
     def for_files(self, left: DataFrame, right: DataFrame):
-        """A judge of edges between two tables of files, or None if nobody answers."""
+        """A judge of edges between two tables of files, or None if nobody answers.
+
+        What it reads of the files is joined to the edges, by ``prepare``, before they come
+        to the driver.
+        """
         if not self.available():
             return None
 
-        def file(files: DataFrame, ord_: int) -> dict:
-            return files.where(F.col("ord") == ord_).select("filename", "text", "text_encoding", "extension").first().asDict()
+        about = ("filename", "text", "text_encoding", "extension")
+
+        def with_files(edges: DataFrame) -> DataFrame:
+            for side, files in (("l", left), ("r", right)):
+                edges = edges.join(files.select(F.col("ord").alias(f"{side}_ord"), F.struct(*about).alias(f"{side}_file")), f"{side}_ord")
+            return edges
+
+        def judge(edge: dict) -> int | None:
+            return self.ask(edge["l_file"].asDict(), edge["r_file"].asDict())
 
-        return lambda edge: self.ask(file(left, edge["l_ord"]), file(right, edge["r_ord"]))
+        judge.prepare = with_files
+        return judge

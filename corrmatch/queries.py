@@ -289,19 +289,57 @@ def section_counts(spark, sf_dir):
     return _sections(spark, sf_dir).groupBy("section").agg(F.count("*").alias("n"))
 
 
-# what SQL cannot express follows; tests hold it against plain versions
-
-
-@query()
+_STEM = r"lower(regexp_replace({}filename, '\.[^.]*$', ''))"
+#: Matching-block ratios of all stems: a window's longest common run, the first of them, splits it in two.
+RATIOS = f"""sl AS (SELECT DISTINCT {_STEM.format('')} AS a FROM l), sr AS (SELECT DISTINCT {_STEM.format('')} AS b FROM r),
+run AS (SELECT a, b, i, j, len(list_filter(range(1, least(length(a) - i, length(b) - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n))) AS n
+  FROM (SELECT a, b, i, unnest(range(length(b))) AS j FROM (SELECT a, b, unnest(range(length(a))) AS i FROM sl, sr))),
+win AS (SELECT a, b, 0 AS al, length(a) AS ah, 0 AS bl, length(b) AS bh, 0::BIGINT AS n FROM sl, sr
+  UNION ALL SELECT a, b, c.al, c.ah, c.bl, c.bh, c.n FROM (
+    SELECT a, b, unnest([{{'al': al, 'ah': -best[2], 'bl': bl, 'bh': -best[3], 'n': best[1]}}, {{'al': best[1] - best[2], 'ah': ah, 'bl': best[1] - best[3], 'bh': bh, 'n': 0}}]) AS c FROM (
+      SELECT w.a, w.b, al, ah, bl, bh, max([least(run.n, ah - i, bh - j), -i, -j]) AS best
+      FROM win w JOIN run ON run.a = w.a AND run.b = w.b AND run.n > 0 AND i >= al AND i < ah AND j >= bl AND j < bh GROUP BY ALL))),
+ratio AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(n) / (length(a) + length(b)) END AS s FROM win GROUP BY a, b)"""
+
+
+@query(f"""WITH RECURSIVE {W.removeprefix('WITH ')}, {RATIOS}
+  SELECT round(s, 6) AS name_sim, count(*) AS n FROM l JOIN r ON l.filename <> r.filename JOIN ratio ON a = {_STEM.format('l.')} AND b = {_STEM.format('r.')} WHERE s >= 0.7 GROUP BY round(s, 6)""")
+def name_similarity(spark, sf_dir):
+    return candidates.similar_name(*sides(spark, sf_dir)).groupBy(F.round("name_sim", 6).alias("name_sim")).agg(F.count("*").alias("n"))
+
+
+def _re2(pattern: str) -> str:
+    """A pattern whose words have letters of any script, for an engine whose classes are ASCII."""
+    out, within = "", False
+    for i, c in enumerate(pattern):
+        if c == "w" and pattern[i - 1 : i] == "\\" and pattern[i - 2 : i - 1] != "\\":
+            out = out[:-1] + ("\\p{L}\\p{N}_" if within else "[\\p{L}\\p{N}_]")
+            continue
+        if c in "[]" and pattern[i - 1 : i] != "\\":
+            within = c == "["
+        out += c
+    return out.replace("'", "''")
+
+
+def _language_sql() -> str:
+    scores = [
+        f"{{'s': {' + '.join(f'(CASE WHEN regexp_matches(h, {chr(39)}{_re2(p)}{chr(39)}) THEN {w} ELSE 0 END)' for p, w in own)}, 'n': '{name}'}}" for name, own in profile.SIGNALS.items()
+    ]
+    known = " ".join(f"WHEN '{e}' THEN '{name}'" for e, name in profile.by_extension().items())
+    return f"""x AS (SELECT substr(text, 1, {profile.SAMPLE}) AS h, extension FROM f UNION ALL SELECT substr(html, 1, {profile.SAMPLE}), '.html' FROM pages),
+  y AS (SELECT list_max([{', '.join(scores)}]) AS best, CASE lower(extension) {known} END AS known FROM x)
+  SELECT CASE WHEN best.s >= {profile.ENOUGH} THEN best.n ELSE coalesce(known, '{profile.GENERIC}') END AS language, CASE WHEN best.s >= {profile.ENOUGH} THEN 'content' WHEN known IS NOT NULL THEN 'extension hint' ELSE 'content-generic fallback' END AS source,
+    CASE WHEN best.s >= {profile.SURE} THEN 'high' WHEN best.s >= {profile.ENOUGH} OR known IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM y GROUP BY 1, 2, 3"""
+
+
+@query(f"{W}, {_language_sql()}")
 def profile_counts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("html").alias("text"), F.lit(".html").alias("extension"))
     rows = files(spark, sf_dir).select("text", "extension").unionByName(pages).select(profile.profile(F.col("text"), F.col("extension")).alias("p"))
     return rows.groupBy("p.language", "p.source", "p.confidence").agg(F.count("*").alias("n"))
 
 
-@query()
-def name_similarity(spark, sf_dir):
-    return candidates.similar_name(*sides(spark, sf_dir)).groupBy("name_sim").agg(F.count("*").alias("n"))
+# what SQL cannot express follows; tests hold it against plain versions
 
 
 @query()
@@ -310,25 +348,6 @@ def similarity_phase2(spark, sf_dir):
     return candidates.scored(candidates.same_name(l, r).select("l_ord", "r_ord"), l, r, 40.0)
 
 
-@query()
-def diff_rows(spark, sf_dir):
-    l, r, matches = _matched(spark, sf_dir)
-    pairs = matches.join(l.select(F.col("ord").alias("l_ord"), F.col("text").alias("l_text")), "l_ord").join(r.select(F.col("ord").alias("r_ord"), F.col("text").alias("r_text")), "r_ord")
-    return diff.diff_rows(pairs.select(F.col("l_ord").alias("pair_id"), "l_text", "r_text"))
-
-
-@query()
-def context_window(spark, sf_dir):
-    return diff.context(diff_rows(spark, sf_dir)).where("shown").select("pair_id", "seq", "t", "l", "r", "m")
-
-
-@query()
-def hex_rows(spark, sf_dir):
-    l, r, matches = _matched(spark, sf_dir)
-    pairs = matches.join(l.select(F.col("ord").alias("l_ord"), F.col("content").alias("l_bytes")), "l_ord").join(r.select(F.col("ord").alias("r_ord"), F.col("content").alias("r_bytes")), "r_ord")
-    return diff.hex_rows(pairs.select(F.col("l_ord").alias("pair_id"), "l_bytes", "r_bytes")).groupBy("pair_id", "t").agg(F.count("*").alias("n"))
-
-
 @query()
 def correspond_by_name(spark, sf_dir):
     """Phases 1 and 2 end to end."""
@@ -337,3 +356,6 @@ def correspond_by_name(spark, sf_dir):
     found, rank = correspond.edges("2", free_l, free_r, correspond.Settings(), False)
     taken = resolve.greedy(correspond.accepted("2", found, correspond.Settings()), rank, group="filename")
     return matches.unionByName(taken.select("l_ord", "r_ord", F.lit("2").alias("phase"), F.lit("deterministic").alias("match_type"), F.col("sim").alias("similarity")))
+
+
+from . import queries_versions  # noqa: E402, F401  (registers its own queries here)
