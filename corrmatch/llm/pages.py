@@ -10,7 +10,8 @@ of a main element within, of headings and of inline elements, and what names lea
 by a Gaussian, and a threshold between two clusters of the smoothed values (two-means)
 marks content lines.  The result is the smallest region (section, division, cell, page)
 that holds all marked lines, whole: a short line of an article is as much of it as a
-long one.  On a page with article or main elements that have text, those are the
+long one.  Only ``MENU`` or more unmarked lines in a row that are all links are a menu, and
+left out.  On a page with article or main elements that have text, those are the
 result, all of them.
 
 Defined cases: a null or empty page, and one without text, has the text '' and 0
@@ -30,6 +31,8 @@ from .common import column, per_batch, read, texts_of
 
 CHUNK = 1 << 16
 SIGMA = 1.0
+#: Lines of nothing but links that make a menu.
+MENU = 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -237,7 +240,22 @@ def main_text(html: str) -> str:
     common = paths[next(x[2] for x, m in zip(lines, marked) if m)]
     for r in {x[2] for x, m in zip(lines, marked) if m}:
         common = [a for a, b in zip(common, paths[r]) if a == b]
-    return " ".join(x[0] for x in lines if x[0] and common[-1] in paths[x[2]])
+    kept = [i for i, x in enumerate(lines) if x[0] and common[-1] in paths[x[2]]]
+    menu = _menus([bool(lines[i][1]) or marked[i] for i in kept])
+    return " ".join(lines[i][0] for i, out in zip(kept, menu) if not out)
+
+
+def _menus(own: list[bool]) -> list[bool]:
+    """Which lines stand in a run of ``MENU`` or more that have no text of their own; not all of them."""
+    out, at = [False] * len(own), 0
+    while at < len(own):
+        end = at
+        while end < len(own) and not own[end]:
+            end += 1
+        if end - at >= MENU and any(own):
+            out[at:end] = [True] * (end - at)
+        at = end + 1
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

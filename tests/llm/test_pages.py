@@ -42,6 +42,32 @@ def test_other_layouts(page):
     assert html.main_text(page.format(a=ARTICLE)) == f"Title {ARTICLE.strip()} End."
 
 
+LONG = "A long paragraph of the text itself, with more than enough words to stand out from all else. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post comments-closed'><p>{a}</p></article><footer>f</footer>", "{a}"),
+        ("<div class='content no-sidebar'><h1>Title</h1><p>{a}</p><p>{a}</p></div><footer>Copyright</footer>", "Title {a} {a}"),
+        ("<div class=page><div class='article-header'><h1>Title</h1></div><p>{a}</p><p>{a}</p></div><nav>Home</nav>", "Title {a} {a}"),
+        ("<div class=page><p>{a}</p><div class='market-share'><p>{a}</p></div></div><footer>f</footer>", "{a} {a}"),
+        ("<section><h2>One</h2><p>{a}</p></section><section><h2>Two</h2><p>Short one.</p></section><section><h2>Three</h2><p>{a}</p></section>", "One {a} Two Short one. Three {a}"),
+        ("<div><p><a href=/>Home</a><p><a href=/b>Blog</a><p><a href=/c>About</a><h1>Title</h1><p>{a}<p><a href=/r>One link</a><p>{a}</div>", "Title {a} One link {a}"),
+        ("<div><ul><li><a href=/>Home</a><li><a href=/b>Blog</a><li><a>About</a></ul></div>", "Home Blog About"),
+    ],
+)
+def test_names_and_short_parts(page, text):
+    assert html.main_text(page.format(a=LONG)) == text.format(a=LONG.strip())
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<div><p>{LONG}</p></div><div><p>Home</p><p>Blog</p><p>About</p></div>"
+    assert html.main_text(page) == LONG.strip()
+    monkeypatch.setattr(html, "threshold", lambda values: 0.0)
+    assert html.main_text(page) == f"{LONG.strip()} Home Blog About"
+
+
 def test_references_and_white_space():
     assert html.main_text("<article><p>a&amp;b &lt;i&gt; &#233;&eacute;&nbsp;\n x<b>y</b>z<br>w &copy</article>") == "a&b <i> éé xyz w ©"
 
