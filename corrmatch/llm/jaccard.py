@@ -51,7 +51,7 @@ FEWEST, MOST = 128, 8_192
 #: Bits of the broadcast bitmap at most (16 MiB); beyond it more sets pass in vain.
 BITMAP = 1 << 27
 #: Sets of one neighbourhood that are verified in one group, about.
-TOGETHER = 250
+TOGETHER = 2_000
 _U = np.uint64
 
 
@@ -229,13 +229,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, named: DataFrame | None, sets)
 
     ``named`` has the key of each id; without it ids are keys.  Texts are not
     shuffled: each task passes on the few sets that a bitmap of the keys lets through.
-    Pairs meet their sets in groups.  Those of one neighbourhood (a step toward the
+    Pairs meet their sets in groups.  Those of one neighbourhood (two steps toward the
     smallest id) go to one group, so that a set travels once for many pairs; a
     neighbourhood of more than ``TOGETHER`` sets is divided.
     """
     spark = docs.sparkSession
-    label = both_ways(pairs).groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("a"), F.least("u", "near").alias("near"))
-    pairs = pairs.join(label, "a")
+    both = both_ways(pairs)
+    label = both.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("v"), F.least("u", "near").alias("near"))
+    label = both.join(label, "v").groupBy("u").agg(F.min("near").alias("near"))
+    pairs = cut(pairs.join(label.select(F.col("u").alias("a"), "near"), "a"))
     crowd = pairs.groupBy("near").agg(F.ceil(F.greatest(F.approx_count_distinct("b") / TOGETHER, F.count("*") / (10 * TOGETHER))).alias("parts"))
     place = F.expr(f"cast(pmod(xxhash64(near, pmod(xxhash64(b), parts)), {4 * groups_for(docs, partitions(spark))}) as int)")
     pairs = cut(pairs.join(crowd, "near").select("a", "b", place.alias("grp")))
