@@ -18,9 +18,9 @@ Scale.  Signatures travel as packed arrays, one row for a batch and a bucket, an
 equal sets of a batch only once.  In a bucket, sets that share a signature become
 candidates: all pairs of a small group, but of a large one only the pairs with its
 smallest member.  These are verified on the whole sets.  What is then still apart
-within the large groups of one smallest member meets in blocks of whole sets, where
-sizes, counts in cells and then the exact test decide; as soon as a block has linked two
-sets, it takes their links as one.  Copies meet as one class, so a group of copies never
+within the large groups of one smallest member meets in blocks, first by sizes and counts
+in cells, which leave few; then their whole sets, for the exact test.  As soon as a block
+has linked two sets, it takes their links as one.  Copies meet as one class, so a group of copies never
 multiplies.
 
 Defined cases: null and empty texts and texts without words have the empty set,
@@ -280,32 +280,61 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return per_batch(near.select("a", "b", "na", "nb", "ca", "cb"), rows, "a long, b long")
 
 
+class _Block:
+    """The columns of a block of a large group; only pairs of a left and a right row count."""
+
+    def __init__(self, table: pa.Table, n: np.ndarray):
+        self.ids, side = (table.column(c).combine_chunks().to_numpy() for c in ("id", "side"))
+        self.label = np.unique(table.column("label").combine_chunks().to_numpy(), return_inverse=True)[1]
+        self.diagonal = bool(table.column("diagonal")[0].as_py())
+        rows = np.arange(len(side))
+        self.left, right = (rows, rows) if self.diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        self.n, self.order = n, right[np.argsort(n[right], kind="stable")]
+        self.sizes = n[self.order]
+
+    def near(self, i: int) -> np.ndarray:
+        """Right rows of another label whose size allows a link with row i."""
+        lo, hi = np.searchsorted(self.sizes, (80 * self.n[i] + 99) // 100), np.searchsorted(self.sizes, 100 * self.n[i] // 80, "right")
+        near = self.order[lo:hi]
+        near = near[self.label[near] != self.label[i]]
+        return near[near > i] if self.diagonal else near
+
+
+def _block_near(table: pa.Table) -> pa.Table:
+    """(grp, id) of the sets that sizes and cell counts allow a link with another label."""
+    block = _Block(table, table.column("n").combine_chunks().to_numpy())
+    cells = table.column("cells").combine_chunks().to_pylist()
+    width, found = np.array([len(c) for c in cells]), np.zeros(len(cells), bool)
+    for w in np.unique(width).tolist():  # similar sizes have the same width or the next one
+        mine = np.flatnonzero((width == w) | (width == 2 * w))
+        place = np.zeros(len(cells), np.int64)
+        place[mine] = np.arange(len(mine))
+        counts = np.stack([np.minimum(_folded(cells[i], w), 255) for i in mine.tolist()]).astype(np.int16)
+        sure = counts < 255  # a full cell may hold more than it says: it is left out
+        for i in block.left[(width[block.left] == w) | (width[block.left] == 2 * w)].tolist():
+            near = block.near(i)
+            near = near[np.minimum(width[near], width[i]) == w]
+            x, at = counts[place[i]], place[near]
+            near = near[9 * (np.abs(counts[at] - x) * (sure[at] & sure[place[i]])).sum(1) <= block.n[near] + block.n[i]]
+            if len(near):
+                found[near] = found[i] = True
+    return pa.table({"grp": table.column("grp").filter(pa.array(found)), "id": table.column("id").filter(pa.array(found))})
+
+
 def _block_links(table: pa.Table) -> pa.Table:
     """Links (a, b) between sets of a block that carry different labels.
 
     Two labels that a link of the block joins are one from then on, so there are fewer
     links than labels.
     """
-    get = lambda c: table.column(c).combine_chunks()
-    ids, side, label = get("id").to_numpy(), get("side").to_numpy(), np.unique(get("label").to_numpy(), return_inverse=True)[1]
-    sets = [np.frombuffer(h, _U) for h in get("hashes").to_pylist()]
+    sets = [np.frombuffer(h, _U) for h in table.column("hashes").combine_chunks().to_pylist()]
     n = np.array([len(x) for x in sets])
-    start = np.cumsum(n) - n
-    width = min(MOST, max(FEWEST, 1 << int(np.median(n) // 4).bit_length()))
-    cells = np.stack([np.minimum(np.bincount((x & _U(width - 1)).astype(np.int64), minlength=width), 255) for x in sets]).astype(np.int16)
+    block = _Block(table, n)
+    ids, label, start = block.ids, block.label, np.cumsum(n) - n
     element = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    own = np.zeros(int(element.max()) + 1, bool)
-    diagonal = bool(table.column("diagonal")[0].as_py())
-    left, right = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    order = right[np.argsort(n[right], kind="stable")]
-    sizes, out = n[order], []
-    for i in left.tolist():  # only sizes that allow a link are looked at
-        lo, hi = np.searchsorted(sizes, (80 * n[i] + 99) // 100), np.searchsorted(sizes, 100 * n[i] // 80, "right")
-        near = order[lo:hi]
-        near = near[label[near] != label[i]]
-        near = near[near > i] if diagonal else near
-        # a full cell may hold more than it says: it is left out
-        near = near[9 * (np.abs(cells[near] - cells[i]) * ((cells[near] < 255) & (cells[i] < 255))).sum(1) <= n[near] + n[i]]
+    own, out = np.zeros(int(element.max()) + 1, bool), []
+    for i in block.left.tolist():
+        near = block.near(i)
         if not len(near):
             continue
         own[element[start[i] : start[i] + n[i]]] = True
@@ -320,27 +349,48 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(two[:, 0], pa.int64()), "b": pa.array(two[:, 1], pa.int64())})
 
 
+def _dealt(rows: DataFrame, held: DataFrame, block: int, elements: int) -> DataFrame:
+    """``rows`` (grp, id, label) by the blocks (grp, x, y) they meet in, with the columns of ``held`` (id, size and others).
+
+    A block holds some ``block`` rows, or ``elements`` of their sizes, on each side.
+    """
+    rows = rows.join(held, "id")
+    sizes = rows.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / elements)).cast("int").alias("nb"))
+    rows = rows.join(sizes, "grp").withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
+    place = {"x": F.least("i", "j"), "y": F.greatest("i", "j"), "side": F.expr("if(i <= j, 0, 1)"), "diagonal": F.expr("i = j")}
+    return rows.withColumns(place).drop("i", "j", "nb", "size").groupBy("grp", "x", "y")
+
+
 def _rest(docs: DataFrame, groups: DataFrame, links: DataFrame, named: DataFrame | None, sets, block: int) -> DataFrame:
-    """``links`` and those between members of large groups (grp, id) that they leave apart."""
+    """``links`` and those between members of large groups (grp, id) that they leave apart.
+
+    ``named`` has key, n and cells of each id; without it ids are keys, and the rest comes from ``docs``.
+    """
     spark = docs.sparkSession
     rows = groups.join(components(links), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
     open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     rows = cut(rows.join(open_.select("grp"), "grp"))
     if rows.isEmpty():
         return links
-    keys = rows.select(F.col("id").alias("key"), "id") if named is None else rows.join(named.select("key", "id"), "id")
-    keys = cut(keys.select("key", "id").distinct())
+    if named is None:
+        bitmap = spark.sparkContext.broadcast(_bitmap(rows.select(F.col("id").alias("key"))))
+
+        def described(batch):
+            for found in sets(batch, lambda keys: _passes(bitmap.value, keys)):
+                yield {"key": list(found), "n": [len(s) for s in found.values()], "cells": [_cells(s) for s in found.values()]}
+
+        named = cut(per_batch(docs, described, "key long, n long, cells binary").groupBy("key").agg(F.first("n").alias("n"), F.first("cells").alias("cells")).withColumn("id", F.col("key")))
+        bitmap.destroy()
+    near = _dealt(rows, named.select("id", "n", "cells", F.octet_length("cells").alias("size")), block, 8 * ELEMENTS).applyInArrow(_block_near, "grp long, id long")
+    rows = cut(rows.join(near.distinct(), ["grp", "id"]))
+    if rows.isEmpty():
+        return links
+    keys = cut(rows.select("id").distinct().join(named.select("key", "id"), "id"))
     bitmap = spark.sparkContext.broadcast(_bitmap(keys))
     held = _held(docs, sets, bitmap).join(keys, "key").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    held = cut(held.withColumn("n", F.octet_length("hashes") / 8))
+    held = cut(held.withColumn("size", F.octet_length("hashes") / 8))
     bitmap.destroy()
-    rows = rows.join(held.select("id", "n"), "id")
-    sizes = rows.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / ELEMENTS)).cast("int").alias("nb"))
-    rows = rows.join(sizes, "grp").withColumn("i", F.expr("cast(pmod(xxhash64(id), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
-    rows = rows.join(held.drop("n"), "id").select(
-        "grp", "id", "label", "hashes", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.expr("if(i <= j, 0, 1)").alias("side"), F.expr("i = j").alias("diagonal"),
-    )
-    return links.unionByName(cut(rows.groupBy("grp", "x", "y").applyInArrow(_block_links, "a long, b long")))
+    return links.unionByName(cut(_dealt(rows, held, block, ELEMENTS).applyInArrow(_block_links, "a long, b long")))
 
 
 def join(docs: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
