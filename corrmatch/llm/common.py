@@ -39,9 +39,14 @@ _UNKNOWN = 1 << 60
 def groups_for(docs: DataFrame, least: int, each: int = GROUP) -> int:
     """Groups into which a shuffle of all texts is dealt: by their bytes, ``least`` at least.
 
-    The bytes are those that the plan states, or else those of the texts, summed.
+    The bytes are those that the plan of a plain scan states, or else those of the texts, summed.
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan, size = docs._jdf.queryExecution().optimizedPlan(), _UNKNOWN
+    leaf = plan
+    while leaf.children().size() == 1:
+        leaf = leaf.children().apply(0)
+    if leaf.children().isEmpty():  # estimates of joins are no measure
+        size = int(str(plan.stats().sizeInBytes()))
     if size >= _UNKNOWN:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(least, -(-size // each))

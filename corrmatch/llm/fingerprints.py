@@ -95,7 +95,7 @@ def _ranged(docs: DataFrame, each: int, ranges: int, within: int) -> DataFrame:
 
 def _with_next(docs: DataFrame, each: int, ranges: int, within: int) -> DataFrame:
     """Rows by range, numbered, each with its successor's text; and guest rows."""
-    spark = docs.sparkSession
+    parts = 4 * groups_for(docs, partitions(docs.sparkSession))
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(text.alias("text"), F.coalesce("doc_id", F.lit(_NULL)).alias("key"), F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
     docs = _ranged(docs, each, ranges, within)
@@ -106,7 +106,7 @@ def _with_next(docs: DataFrame, each: int, ranges: int, within: int) -> DataFram
     guests = docs.drop("range").join(F.broadcast(heads.drop("own")), ["key", "h"]).dropDuplicates(["key", "h", "range"])
     docs = docs.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("h"), F.desc("text"))
-    placed = docs.repartition(4 * groups_for(docs, partitions(spark)), "range")
+    placed = docs.repartition(parts, "range")
     return placed.select("range", "guest", "key", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next"))
 
 
