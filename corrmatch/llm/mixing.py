@@ -3,9 +3,9 @@
 Documents are weighed in words.  Their totals by source, language and topic form the
 cells of a table, which is raked: in turn, each dimension's cells are scaled so that
 their sums meet its target shares, until no factor differs from 1 by ``EPSILON``.  Targets
-that contradict each other have no such end: after ``ROUNDS`` rounds the shares stand as
-they are, and ``_gap`` says by how much a factor of the last round still differed from 1
-(``converged`` in the query is whether it is below ``EPSILON``).  A cell's weight is its
+that contradict each other have no such end: when that difference no longer changes, or after
+``ROUNDS`` rounds, the shares stand as they are, and ``_gap`` says by how much a factor of the
+last round still differed from 1 (``converged`` in the query: whether it is below ``EPSILON``).  A cell's weight is its
 raked share over its own share; a document is kept with probability weight / largest
 weight, so that the kept words meet the targets in expectation and no probability
 exceeds 1.  The draw is a hash of doc_id, so it can be repeated.
@@ -102,6 +102,7 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
         state = joined(state, _targets(cells, d, target).toDF(d, f"t_{d}"), d)
     state, gap = cut(state), 0.0
     for _ in range(rounds):
+        before = gap
         off = F.lit(0.0)
         for d in targets:
             now = state.groupBy(F.col(d).alias("v")).agg(F.sum("share").alias("now"), F.first(f"t_{d}").alias("t"))
@@ -111,7 +112,7 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
                 off = F.greatest(off, F.when(F.col("share") > 0, F.abs(F.col(f"f_{d}") - 1)).otherwise(0.0))
         state = cut(state.withColumn("off", off).drop(*[f"f_{d}" for d in targets]))
         gap = state.agg(F.max("off")).first()[0] or 0.0
-        if gap < EPSILON:
+        if gap < EPSILON or abs(gap - before) < EPSILON:  # as near as it gets
             break
     return state.select(*cells.columns, "share", F.lit(gap).alias("gap"))
 

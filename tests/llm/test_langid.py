@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import zlib
 
@@ -74,3 +76,56 @@ def test_every_label_is_learned(spark, monkeypatch):
 def test_nothing_learned_keeps_texts_with_letters(spark):
     docs = spark.createDataFrame([(1, "abc def", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.accept(docs, langid.trained(docs)).collect()] == [1]
+
+
+def plain_fit(rows, dim, labels, epochs):
+    """FTRL-proximal by the book, one weight at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, c):
+        if abs(z[f, c]) <= langid.L1:
+            return 0.0
+        return -(z[f, c] - math.copysign(langid.L1, z[f, c])) / ((langid.BETA + math.sqrt(n[f, c])) / langid.ALPHA + langid.L2)
+
+    rng = np.random.default_rng(0)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            label, features, x = rows[i]
+            w = {(f, c): weight(f, c) for f in features.tolist() for c in range(labels)}
+            scores = [sum(v * w[f, c] for f, v in zip(features.tolist(), x.tolist())) for c in range(labels)]
+            top = [math.exp(s - max(scores)) for s in scores]
+            for f, v in zip(features.tolist(), x.tolist()):
+                for c in range(labels):
+                    g = v * (top[c] / sum(top) - (c == label))
+                    sigma = (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / langid.ALPHA
+                    z[f, c] += g - sigma * w[f, c]
+                    n[f, c] += g * g
+    return np.array([[weight(f, c) for c in range(labels)] for f in range(dim)])
+
+
+def test_fit_and_prediction_agree_with_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(1, 4, 30)
+    model = langid.Model(["a", "b", "c"], np.append(idf, np.ones(5)))
+    rows = []
+    for _ in range(80):
+        f = np.sort(rng.choice(30, rng.integers(1, 9), replace=False))
+        c = rng.integers(1, 6, len(f))
+        x = np.array([(1 + math.log(k)) * idf[i] for i, k in zip(f, c)])
+        x /= math.sqrt((x * x).sum())
+        assert np.allclose(model.values(f, c), x)
+        rows.append((int(f[0] % 3), f, x))
+    model.fit(rows)
+    expected = plain_fit(rows, 35, 3, langid.EPOCHS)
+    assert np.allclose(model.weights, expected, atol=1e-9) and not expected[30:].any()
+    part = langid._Part(model.weights)
+    for _, f, x in rows:
+        assert np.allclose(part.logits(f, x), x @ expected[f], atol=1e-5)
+
+
+def test_ties_and_very_long_texts(spark):
+    model = langid.Model(["a", "b"], np.ones(langid.DIM, np.float32))
+    model.weights = np.zeros((langid.DIM, 2))
+    docs = spark.createDataFrame([(1, "x", False), (2, "word " * 900_000, True), (3, "word", True)], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert got == {i: ("a", 0.5) for i in (1, 2, 3)}  # of equal scores the first label

@@ -63,3 +63,19 @@ def test_odd_rows(spark, tmp_path, monkeypatch):
     assert mixing.sample(docs.where("doc_id < 3")).count() == 2  # nothing weighs anything
     docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op5_source_mixing(spark, str(tmp_path)).count() == 0
+
+
+def test_targets_that_contradict_each_other_leave_a_gap(spark):
+    cells = spark.createDataFrame([("a", "en", "t", 70), ("b", "de", "t", 30)], "source string, lang string, topic string, w long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": 1.0}
+    for alone in (False, True):
+        got = mixing.rake(cells.coalesce(1) if alone else cells, targets, rounds=6, alone=alone).collect()
+        assert all(r.gap > 0.1 for r in got) and sum(r.share for r in got) == pytest.approx(1)
+    slow = spark.createDataFrame([("a", "en", "t", 10_000), ("a", "de", "t", 1), ("b", "en", "t", 1), ("b", "de", "t", 1_000)], cells.schema)
+    got = mixing.rake(slow.coalesce(1), {"source": 1.0, "lang": {"en": 0.5, "de": 0.5}, "topic": 1.0}, alone=True).collect()
+    assert got[0].gap < mixing.EPSILON and sum(r.share for r in got if r.lang == "en") == pytest.approx(0.5)
+
+
+def test_values_that_a_target_does_not_name_are_not_wanted(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", "ab"[i % 2]) for i in range(50)], "doc_id long, text string, lang string, source string")
+    assert {r.source for r in mixing.sample(docs, targets={"source": {"a": 1.0}, "lang": 1.0, "topic": 1.0}).collect()} == {"a"}

@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 import zlib
@@ -94,3 +95,11 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = packing.op2_best_fit_packing(spark, str(tmp_path))
     assert got.count() == 0 and "sequence_id" in got.columns
+
+
+def test_null_ids_are_dealt_like_others(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TARGET", 100)
+    docs = spark.createDataFrame([(None, "the same words")] * 1500, "doc_id long, text string")
+    rows = packing.pack(docs, capacity=64).where("round = 0").collect()
+    buckets = collections.Counter(r.sequence_id >> 24 for r in rows)
+    assert len(buckets) >= 10 and max(buckets.values()) < 300

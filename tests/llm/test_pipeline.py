@@ -102,3 +102,16 @@ def plain_mixture(rows):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    rows, _ = corpus(7)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, component_id string, own double"
+    long = " ".join(f"the{i % 977}of{i % 31}" for i in range(150_000))
+    rows = [*rows[:80], *[[None, f"{t} again", la, s] for _, t, la, s in rows[80:90]], *[rows[3]] * 4, [3, "the other text of one id", "en", None], [950, long, "en", "a"], [951, None, None, None]]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", 0.5) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got[0].asDict())
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

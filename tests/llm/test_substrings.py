@@ -132,3 +132,62 @@ def test_wrapped_and_short_paragraphs_count(spark, tmp_path):
     rows += [(10 + k, f"{filler()}\n{' '.join(short)}\n{filler()}") for k in range(3)]
     got = {r.doc_id: (r.begin, r.n_words, r.removed, r.keeper) for r in run(spark, rows, tmp_path)}
     assert got == {**{k: (40, 96, k > 0, 0) for k in range(3)}, **{10 + k: (40, 24, k > 0, 10) for k in range(3)}}
+
+
+def test_paragraphs_agree_with_all_pairs(spark, tmp_path):
+    rng = random.Random(12)
+    base = [words(rng, rng.randrange(56, 90)) for _ in range(40)]
+    docs = []
+    for i in range(70):
+        parts = []
+        for p in rng.sample(base, 3) if i % 2 else [words(rng, 60), rng.choice(base), words(rng, 30)]:
+            p = list(p)
+            if rng.random() < 0.4:
+                p[len(p) // 2] = f"edit{i}"
+            parts.append(p)
+        docs.append((3 * i, parts))
+    paragraphs = [(d, k, tuple(p)) for d, parts in docs for k, p in enumerate(parts)]
+    sets = [{p[i : i + 5] for i in range(len(p) - 4)} for _, _, p in paragraphs]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    holders = {}
+    for i, (d, _, _) in enumerate(paragraphs):
+        holders.setdefault(find(i), set()).add(d)
+    at = {(d, k): sum(map(len, parts[:k])) for d, parts in docs for k in range(3)}
+    expected = {}
+    for i, (d, k, p) in enumerate(paragraphs):
+        if len(holders[find(i)]) > 1:
+            for w in range(at[d, k], at[d, k] + len(p)):
+                expected[d, w] = min(holders[find(i)]) != d
+    rows = [(d, "\n".join(" ".join(p) for p in parts)) for d, parts in docs]
+    got = {}
+    for r in run(spark, rows, tmp_path):
+        for w in range(r.begin, r.end):
+            got[r.doc_id, w] = got.get((r.doc_id, w), False) or r.removed
+    assert got == expected
+
+
+def test_rows_of_one_id_are_cut_by_their_own_text(spark):
+    rng = random.Random(13)
+    passage, other, third = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, passage, 0, "a"), (2, f"{third}\n{passage}", 1, "b"), (2, f"{passage}\n{other}", 2, "c"), (2, f"{passage}\n{other}", 3, "d"), (None, other, 4, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__own` int, row string")
+    got = {r["__own"]: r.text.strip() for r in sub.deduplicate(docs).collect()}
+    assert got == {0: passage, 1: third, 2: "", 3: "", 4: other}
+    assert sub.deduplicate(docs).columns == docs.columns
+
+
+def test_a_line_of_all_documents_sends_two_ids_a_slice():
+    key, value = np.array([7, 7, 7, 7, 9, 5, 5], np.uint64), np.array([4, 2, 9, 2, 1, 3, 3], np.int64)
+    assert [x.tolist() for x in sub._pairs(key, value, True)] == [[5, 7, 7, 9], [3, 2, 9, 1]]
+    assert [x.tolist() for x in sub._pairs(key, value, False)] == [[5, 7, 7, 7, 9], [3, 2, 4, 9, 1]]
+    assert [len(x) for x in sub._pairs(key[:0], value[:0], True)] == [0, 0]
