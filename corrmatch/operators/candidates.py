@@ -15,7 +15,7 @@ from ..config import NAME_SIMILARITY
 from ..functions import similarity, text
 from .lineage import cut
 
-#: Longer stems are compared by length and letters only after this many equal ones met.
+#: Letters that are counted one by one in the bound on stems; all others count together.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_-."
 
 
@@ -131,15 +131,21 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) ->
 
 
 def status(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``matches`` with content_status: identical, minor or different."""
-    ext = left.select(F.col("ord").alias("l_ord"), F.col("extension").alias("ext"), F.col("text").alias("l_text"), F.col("content").alias("l_bytes"), F.col("is_binary").alias("l_bin"))
-    other = right.select(F.col("ord").alias("r_ord"), F.col("text").alias("r_text"), F.col("content").alias("r_bytes"), F.col("is_binary").alias("r_bin"))
-    rows = matches.join(ext, "l_ord").join(other, "r_ord").withColumn("binary", F.col("l_bin") | F.col("r_bin"))
-    a, b = text.newlines(F.col("l_text")), text.newlines(F.col("r_text"))
-    forms = similarity.featurise(a, F.col("ext"))["form"] == similarity.featurise(b, F.col("ext"))["form"]
-    same = F.when(F.col("binary"), F.coalesce(F.sha2("l_bytes", 256) == F.sha2("r_bytes", 256), F.lit(False))).otherwise(F.coalesce(a == b, F.lit(False)))
-    rows = rows.withColumn("same", same)
-    # texts that are equal need no features
-    minor = F.when(~F.col("same") & ~F.col("binary"), forms)
-    state = F.when(F.col("same"), "identical").when(F.coalesce(minor, F.lit(False)), "minor").otherwise("different")
-    return rows.withColumn("content_status", state).drop("ext", "l_text", "l_bytes", "l_bin", "r_text", "r_bytes", "r_bin", "same")
+    """``matches`` with content_status (identical, minor or different) and binary.
+
+    Hashes decide what is equal; only the texts of pairs that differ travel, for their forms.
+    """
+
+    def sums(files: DataFrame, side: str) -> DataFrame:
+        kept = {"bin": F.col("is_binary"), "bytes": F.sha2("content", 256), "lines": F.sha2(text.newlines(F.col("text")).cast("binary"), 256)}
+        return files.select(F.col("ord").alias(f"{side}_ord"), *[c.alias(f"{side}_{n}") for n, c in kept.items()])
+
+    rows = matches.join(sums(left, "l"), "l_ord").join(sums(right, "r"), "r_ord").withColumn("binary", F.col("l_bin") | F.col("r_bin"))
+    same = F.when(F.col("binary"), F.col("l_bytes") == F.col("r_bytes")).otherwise(F.col("l_lines") == F.col("r_lines"))
+    rows = cut(rows.withColumn("same", F.coalesce(same, F.lit(False))).select(*matches.columns, "binary", "same"))
+    texts = rows.where("not same and not binary").select("l_ord", "r_ord")
+    texts = texts.join(left.select(F.col("ord").alias("l_ord"), F.col("extension").alias("ext"), F.col("text").alias("l_text")), "l_ord").join(right.select(F.col("ord").alias("r_ord"), F.col("text").alias("r_text")), "r_ord")
+    form = lambda c: similarity.featurise(text.newlines(F.col(c)), F.col("ext"))["form"]
+    minor = texts.select("l_ord", "r_ord", F.coalesce(form("l_text") == form("r_text"), F.lit(False)).alias("minor"))
+    state = F.when(F.col("same"), "identical").when(F.coalesce("minor", F.lit(False)), "minor").otherwise("different")
+    return rows.join(minor, ["l_ord", "r_ord"], "left").withColumn("content_status", state).drop("same", "minor")

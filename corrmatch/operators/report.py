@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,11 +88,12 @@ def search(rows: DataFrame, query: str, *cols: str) -> DataFrame:
     plain = whole.rlike("^\\p{ASCII}*$")
     hay = F.when(plain, whole).otherwise(text.folded(F.when(~plain, whole)))
     query = text.without_accents(query)
-    wanted = F.lit(query)
-    words = F.forall(F.split(wanted, r"\s+"), lambda w: F.contains(hay, w))
+    found = rows.withColumn("_hay", hay)
+    hay = F.col("_hay")
+    words = reduce(Column.__and__, [F.contains(hay, F.lit(w)) for w in query.split()])
     letters = "".join(c for c in query if not c.isspace())
     close = F.lit(False) if len(letters) < 3 else hay.rlike("".join(f"{_quoted(c)}.{{0,3}}?" for c in letters))
-    return rows.where(F.contains(hay, wanted) | words | close)
+    return found.where(F.contains(hay, F.lit(query)) | words | close).drop("_hay")
 
 
 def _quoted(c: str) -> str:

@@ -1,6 +1,7 @@
 """Whole comparisons of folders."""
 
 import os
+import random
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrmatch.config import Settings
 from corrmatch.functions import similarity
-from corrmatch.operators import report, resolve
+from corrmatch.operators import diff, report, resolve
 from corrmatch.plans.correspond import compare_folders
 
 
@@ -183,3 +184,47 @@ def test_empty_folders(spark, tmp_path):
     os.makedirs(tmp_path / "r")
     result = compare_folders(spark, {"left_dir": str(tmp_path / "l"), "right_dir": str(tmp_path / "r")})
     assert result.sections().count() == 4 and result.sections().where(F.col("section").startswith("ignored")).count() == 4
+
+
+def test_tied_files_of_one_name_need_no_rounds(spark):
+    n = 400
+    edges = spark.range(n).selectExpr("id AS l_ord").crossJoin(spark.range(n).selectExpr("id AS r_ord")).selectExpr("l_ord", "r_ord", "1.0D AS score", "'f' AS filename")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tied", "tied")
+    got = resolve.greedy(edges, "score", group="filename").collect()
+    assert sorted((r.l_ord, r.r_ord) for r in got) == [(i, i) for i in range(n)]
+    assert len(tracker.getJobIdsForGroup("tied")) <= 6
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_greedy_agrees_with_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(left, right, rng.choice([1.0, 2.0, 3.0])) for left in range(60) for right in rng.sample(range(60), rng.randrange(0, 5))]
+    used, expected = set(), set()
+    for left in range(60):
+        for _, right in sorted((-s, r) for x, r, s in rows if x == left):
+            if right not in used:
+                used.add(right)
+                expected.add((left, right))
+                break
+    edges = spark.createDataFrame(rows, "l_ord long, r_ord long, score double").repartition(5)
+    assert {(r.l_ord, r.r_ord) for r in resolve.greedy(edges, "score").collect()} == expected
+    assert resolve.greedy(edges.where("false"), "score").collect() == []
+
+
+def test_search_folds_accents_on_both_sides(spark):
+    rows = spark.createDataFrame([(1, "Straße Über Řeka"), (2, "strasse uber"), (3, None), (4, "ŠKODA çelik")], "id int, name string")
+    found = lambda q: {r.id for r in report.search(rows, q, "name").collect()}
+    assert found("über reka") == {1} and found("UBER") == {1, 2} and found("škoda") == found("skoda") == {4} and found("Çelik") == {4}
+    assert found(" ") == {1, 2, 3, 4}
+
+
+def test_lines_end_as_they_do_in_python(spark):
+    texts = ["a\x0bb\nc\n", "", "\n", "x", "a\r\nb\rc\x85d e f\x1cg\x1dh\x1ei\x0cj", "\r\n\r\n"]
+    rows = diff.lines(spark.createDataFrame(list(enumerate(texts)), "ord int, text string")).collect()
+    assert {i: [r.text for r in sorted(rows, key=lambda r: r.line) if r.ord == i] for i in range(len(texts))} == {i: t.splitlines() for i, t in enumerate(texts)}
+
+
+def test_filters_reject_unknown_modes(spark):
+    with pytest.raises(ValueError, match="unknown filter"):
+        diff.filtered(spark.range(1), "some")
