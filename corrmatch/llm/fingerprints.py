@@ -27,12 +27,13 @@ successor; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, groups_for, partitions
+from .common import documents, groups_for, partitions, shared_folder
 
 SAMPLES = 32
 #: Documents of a range, about; ranges of one list of quantiles, and lists within each, at most.
@@ -95,14 +96,18 @@ def _ranged(docs: DataFrame, each: int, ranges: int, within: int) -> DataFrame:
 
 def _with_next(docs: DataFrame, each: int, ranges: int, within: int) -> DataFrame:
     """Rows by range, numbered, each with its successor's text; and guest rows."""
-    parts = 4 * groups_for(docs, partitions(docs.sparkSession))
+    spark = docs.sparkSession
+    parts = 4 * groups_for(docs, partitions(spark))
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(text.alias("text"), F.coalesce("doc_id", F.lit(_NULL)).alias("key"), F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
     docs = _ranged(docs, each, ranges, within)
     # the first rows of the ranges, one for each: few, and without texts
     heads = docs.groupBy("range").agg(F.max(F.struct("key", "h")).alias("head")).select("head.key", "head.h", F.col("range").alias("own"))
     above = F.coalesce(F.lead("own").over(Window.orderBy("own")), F.min("own").over(Window.orderBy("own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = cut(heads.withColumn("range", above))
+    # a written table: what is checkpointed would keep Spark from running the exchange of the texts once
+    kept = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    heads.withColumn("range", above).write.parquet(kept)
+    heads = spark.read.schema("key long, h long, own long, range long").parquet(kept)
     guests = docs.drop("range").join(F.broadcast(heads.drop("own")), ["key", "h"]).dropDuplicates(["key", "h", "range"])
     docs = docs.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("h"), F.desc("text"))
