@@ -104,7 +104,10 @@ def compare(left: DataFrame, right: DataFrame, settings: Settings = Settings(),
     taken = cut(taken.unionByName(phase_binary(free(l, taken, "l"), free(r, taken, "r"))))
     gate = resolve.Gate(judge, settings.llm_failure_limit) if judge else None
     for phase in ("2", "3", "3b"):
-        found, rank = edges(phase, free(l, taken, "l"), free(r, taken, "r"), settings, bool(judge))
+        free_l, free_r = free(l, taken, "l"), free(r, taken, "r")
+        if _text(free_l).isEmpty() or _text(free_r).isEmpty():
+            break  # nobody is left to match
+        found, rank = edges(phase, free_l, free_r, settings, bool(judge))
         kind = "content" if phase == "3b" else "deterministic"
         if judge is None:
             got = resolve.greedy(accepted(phase, found, settings), rank, group=GROUPED.get(phase)).select("l_ord", "r_ord", F.lit(phase).alias("phase"), F.lit(kind).alias("match_type"), F.col("sim").alias("similarity"))
