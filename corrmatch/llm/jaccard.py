@@ -364,28 +364,20 @@ def _dealt(rows: DataFrame, held: DataFrame, block: int, elements: int) -> DataF
 def _rest(docs: DataFrame, groups: DataFrame, links: DataFrame, named: DataFrame | None, sets, block: int) -> DataFrame:
     """``links`` and those between members of large groups (grp, id) that they leave apart.
 
-    ``named`` has key, n and cells of each id; without it ids are keys, and the rest comes from ``docs``.
+    ``named`` has key, n and cells of each id.  Without it ids are keys, and the sets are
+    short: their cells would not be shorter.
     """
     spark = docs.sparkSession
     rows = groups.join(components(links), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("label"))
     open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     rows = cut(rows.join(open_.select("grp"), "grp"))
+    if not rows.isEmpty() and named is not None:
+        near = _dealt(rows, named.select("id", "n", "cells", F.octet_length("cells").alias("size")), block, 8 * ELEMENTS).applyInArrow(_block_near, "grp long, id long")
+        rows = cut(rows.join(near.distinct(), ["grp", "id"]))
     if rows.isEmpty():
         return links
-    if named is None:
-        bitmap = spark.sparkContext.broadcast(_bitmap(rows.select(F.col("id").alias("key"))))
-
-        def described(batch):
-            for found in sets(batch, lambda keys: _passes(bitmap.value, keys)):
-                yield {"key": list(found), "n": [len(s) for s in found.values()], "cells": [_cells(s) for s in found.values()]}
-
-        named = cut(per_batch(docs, described, "key long, n long, cells binary").groupBy("key").agg(F.first("n").alias("n"), F.first("cells").alias("cells")).withColumn("id", F.col("key")))
-        bitmap.destroy()
-    near = _dealt(rows, named.select("id", "n", "cells", F.octet_length("cells").alias("size")), block, 8 * ELEMENTS).applyInArrow(_block_near, "grp long, id long")
-    rows = cut(rows.join(near.distinct(), ["grp", "id"]))
-    if rows.isEmpty():
-        return links
-    keys = cut(rows.select("id").distinct().join(named.select("key", "id"), "id"))
+    keys = rows.select("id").distinct()
+    keys = cut(keys.withColumn("key", F.col("id")) if named is None else keys.join(named.select("key", "id"), "id"))
     bitmap = spark.sparkContext.broadcast(_bitmap(keys))
     held = _held(docs, sets, bitmap).join(keys, "key").groupBy("id").agg(F.first("hashes").alias("hashes"))
     held = cut(held.withColumn("size", F.octet_length("hashes") / 8))

@@ -143,13 +143,14 @@ def _writer(folder: str, n: int, length: int, rows: int, kind: str, key: int):
             f.write(out.tobytes())
         store.move(part, name)
         with store.open_input_stream(name) as f:  # the rest describes what is stored
-            back = np.frombuffer(f.read(), form)
-        slot = np.arange(len(back)) + shard * rows
+            raw = memoryview(f.read())
+        back = np.frombuffer(raw, form)
+        slot, size, wide = np.arange(len(back)) + shard * rows, form.itemsize, memoryview(back["ids"].astype("<u4").tobytes())
         cols = {
             "doc_id": pa.array(back["doc_id"], mask=back["doc_id"] == _NULL), "piece": pa.array(back["piece"]), "start": pa.array(back["piece"].astype(np.int64) * length), "length": pa.array(back["length"]),
-            "ids_crc32": pa.array([zlib.crc32(r["ids"][: r["length"]].astype("<u4").tobytes()) for r in back], pa.int64()), "number": pa.array(permute(slot, n, key, inverse=True)),
+            "ids_crc32": pa.array([zlib.crc32(wide[i : i + 4 * k]) for i, k in zip(range(0, len(wide), 4 * length), back["length"].tolist())], pa.int64()), "number": pa.array(permute(slot, n, key, inverse=True)),
             "slot": pa.array(slot), "shard": pa.array(np.full(len(back), shard)), "byte_offset": pa.array(np.arange(len(back)) * form.itemsize),
-            "record_crc32": pa.array([zlib.crc32(r.tobytes()) for r in back], pa.int64()),
+            "record_crc32": pa.array([zlib.crc32(raw[i : i + size]) for i in range(0, len(raw), size)], pa.int64()),
         }
         return pa.RecordBatch.from_pydict(cols)
 
@@ -185,17 +186,17 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, length: i
         owner = np.repeat(np.arange(len(count)), count)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         slot = permute(number[owner] + piece, n, key)
-        out = np.zeros(len(slot), form)
-        out["doc_id"], out["piece"] = doc_ids[owner], piece
-        at = 0
-        for x, c in zip(ids, count.tolist()):
-            x = np.frombuffer(x, kind)
-            out["ids"][at : at + c] = np.pad(x, (0, c * length - len(x))).reshape(c, length)
-            out["length"][at : at + c] = length
-            out["length"][at + c - 1] = len(x) - (c - 1) * length
-            at += c
+        # each document's ids, then zeros up to a whole number of sequences
+        flat, ends = bytearray(len(slot) * length * np.dtype(kind).itemsize), np.cumsum(count)
+        for x, at in zip(ids, ((ends - count) * length * np.dtype(kind).itemsize).tolist()):
+            flat[at : at + len(x)] = x
         order = np.argsort(slot, kind="stable")
-        slot, out = slot[order], out[order]
+        slot, out = slot[order], np.zeros(len(slot), form)
+        out["doc_id"], out["piece"] = doc_ids[owner[order]], piece[order]
+        out["ids"] = np.frombuffer(flat, kind).reshape(-1, length)[order]
+        lengths = np.full(len(slot), length)
+        lengths[ends - 1] = np.array([len(x) for x in ids]) // np.dtype(kind).itemsize - (count - 1) * length
+        out["length"] = lengths[order]
         cuts = np.flatnonzero(np.concatenate(([True], slot[1:] // rows != slot[:-1] // rows, [True])))
         pack = zstandard.ZstdCompressor(1).compress
         return {
