@@ -5,7 +5,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from corrmatch.plans.arbiter import HttpArbiter, middle_out, score
-from corrmatch.plans.correspond import compare_folders
+from corrmatch.plans.correspond import compare, compare_folders
+from corrmatch.sources.workspace import scan
 from tests.core.test_engine import put
 
 
@@ -53,3 +54,17 @@ def test_judge_over_http(spark, tmp_path, server):
     assert (match.match_type, match.similarity, result.calls) == ("llm_verified", 88.0, 1)
     assert [("think" in a) for a in asked] == [True, False] and "FILE A" in asked[0]["system"]
     assert HttpArbiter("http://127.0.0.1:9", "any").ask(*files) is None
+
+
+def test_judge_of_files_reads_them_with_the_edges(spark, tmp_path, server):
+    url, asked = server
+    texts = [" ".join(f"w{k}" for k in range(40)), " ".join([f"w{k}" for k in range(14)] + [f"v{k}" for k in range(26)])]
+    for i in range(3):
+        put(f"{tmp_path}/l", f"a/f{i}.txt", texts[0].replace("w", f"w{i}x"))
+        put(f"{tmp_path}/r", f"b/f{i}.txt", texts[1].replace("w", f"w{i}x").replace("v", f"v{i}x"))
+    left, right = (scan(spark, f"{tmp_path}/{s}", s) for s in "lr")
+    judge = HttpArbiter(url, "any").for_files(left, right)
+    result = compare(left, right, judge=judge)
+    assert sorted(r.match_type for r in result.matches.collect()) == ["llm_verified"] * 3 and result.calls == 3
+    assert all(f"f{i}.txt" in "".join(a["prompt"] for a in asked) for i in range(3))
+    assert HttpArbiter("http://127.0.0.1:9", "any").for_files(left, right) is None

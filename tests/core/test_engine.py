@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrmatch.config import Settings
 from corrmatch.functions import similarity
-from corrmatch.operators import diff, report, resolve
+from corrmatch.operators import diff, lineage, report, resolve
 from corrmatch.plans.correspond import compare_folders
 
 
@@ -228,3 +228,29 @@ def test_lines_end_as_they_do_in_python(spark):
 def test_filters_reject_unknown_modes(spark):
     with pytest.raises(ValueError, match="unknown filter"):
         diff.filtered(spark.range(1), "some")
+
+
+def test_numbers_follow_the_keys(spark):
+    names = [f"{a}/{b}" for a in "xyz" for b in range(30)]
+    rows = lineage.numbered(spark.createDataFrame([(n,) for n in reversed(names)], "path string").repartition(7), "ord", "path").collect()
+    assert [r.path for r in sorted(rows, key=lambda r: r.ord)] == sorted(names) and {r.ord for r in rows} == set(range(90))
+    assert lineage.numbered(spark.createDataFrame([], "path string"), "ord", "path").collect() == []
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    class Unset:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def isEmpty(self):
+            return True
+
+        def get(self, name=None):
+            return None
+
+    context = Unset()
+    context.master, session = "spark://host:7077", Unset()
+    session.sparkContext = context
+    context._jsc = Unset()
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        lineage.shared_folder(session)
