@@ -101,14 +101,15 @@ def _with_next(docs: DataFrame, each: int, ranges: int, within: int) -> DataFram
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(text.alias("text"), F.coalesce("doc_id", F.lit(_NULL)).alias("key"), F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
     docs = _ranged(docs, each, ranges, within)
-    # the first rows of the ranges, one for each: few, and without texts
+    # the first rows of the ranges, one for each
     heads = docs.groupBy("range").agg(F.max(F.struct("key", "h")).alias("head")).select("head.key", "head.h", F.col("range").alias("own"))
     above = F.coalesce(F.lead("own").over(Window.orderBy("own")), F.min("own").over(Window.orderBy("own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # a written table: what is checkpointed would keep Spark from running the exchange of the texts once
-    kept = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
-    heads.withColumn("range", above).write.parquet(kept)
-    heads = spark.read.schema("key long, h long, own long, range long").parquet(kept)
-    guests = docs.drop("range").join(F.broadcast(heads.drop("own")), ["key", "h"]).dropDuplicates(["key", "h", "range"])
+    heads = heads.select("key", "h", above.alias("range"))
+    guests = docs.drop("range").join(F.broadcast(heads), ["key", "h"]).dropDuplicates(["key", "h", "range"])
+    # a written table: both uses of the rows below are then one plan, whose exchange Spark runs once
+    kept = f"{shared_folder(spark)}/guests-{uuid.uuid4().hex}"
+    guests.select("text", "key", "h", "range").write.parquet(kept)
+    guests = spark.read.schema("text string, key long, h long, range long").parquet(kept)
     docs = docs.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc("h"), F.desc("text"))
     placed = docs.repartition(parts, "range")
