@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 #: Pieces whose ids a worker keeps in either half of its table.
-KEEP = 250_000
+KEEP = 600_000
 END = 0
 _PLAIN = bytes([*range(9, 14), *range(32, 127), *range(160, 256)])
 # the file's own way of cutting words, for lower-case Latin-1
