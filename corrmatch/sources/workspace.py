@@ -111,7 +111,7 @@ def scan(spark: SparkSession, root: str, side: str, exclusions: Exclusions = Exc
     rows = files.select(
         "ord", "filename", "relative_dir", "full_path", text.extension(F.col("filename")).alias("extension"), "size", "mtime",
         binary.alias("is_binary"), F.col("sniff.text_encoding").alias("text_encoding"), (reason != "").alias("ignored"), reason.alias("ignored_reason"), "content",
-        F.when(~binary, charsets.decode("content", F.col("sniff.text_encoding"))).alias("text"),
+        F.when(~binary, charsets.decode("content", F.lit(charset))).alias("text"),
     )
     root = os.path.normpath(root)
     # The aliases and their reason.

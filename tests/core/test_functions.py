@@ -128,6 +128,17 @@ def test_decoding(spark):
     assert [(r.s.is_binary, r.s.text_encoding, r.t) for r in got] == [(True, "", "x\0"), (False, "utf-8", ""), (False, "cp1252", "café x")]
 
 
+def test_letters_after_a_plain_sample_are_read():
+    plain = b"abc\n" * 3000
+    for text in ("é", "Größe é", "é" * 9000 + "x"):
+        for name in ("cp1252", "latin-1", "utf-8"):
+            assert charsets.decoded(plain + text.encode(name)) == (plain.decode() + text)
+    assert charsets.detected_whole(plain + b"\x81\xe9 x") == "latin-1" and charsets.detected_whole(plain) == "utf-8"
+    # letters of a sample that are UTF-8 stay so, and a charset that is asked for is kept
+    assert charsets.decoded("é".encode() + plain + b"\xe9 x") == "é" + plain.decode() + "\ufffd x"
+    assert charsets.decoded(plain + b"\xe9 x", "utf-8") == plain.decode() + "\ufffd x"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab c\n1_", max_size=60), st.text("ab c\n1_", max_size=60))
 def test_bounds_hold(a, b):
