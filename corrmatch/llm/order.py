@@ -49,6 +49,9 @@ SHARD = 8_192
 ROUNDS = 6
 #: Documents whose records are made at a time.
 SLICE = 2_500
+#: Tokens, blocks and shards are on disk together, so the first two are packed tightly: ids repeat over long ways.
+LEVEL = 6
+TOKEN_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 KEY = 0x5EED
 _U = np.uint64
 _NULL = -(1 << 63)
@@ -175,7 +178,7 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, length: i
     path = path or tokens.default_path()
     kind = "<u2" if tokens.encoder(path).model.get_vocab_size() <= 1 << 16 else "<u4"
     kept = f"{folder}/tokens"
-    _tokenised(docs, path, kind).write.option("compression", "zstd").parquet(kept)
+    _tokenised(docs, path, kind).write.options(**TOKEN_FILES).parquet(kept)
     numbered, n, parts = _numbered(spark.read.parquet(kept), length)
     if not n:
         return spark.createDataFrame([], PLACED)
@@ -198,7 +201,7 @@ def materialise(docs: DataFrame, folder: str, path: str | None = None, length: i
         lengths[ends - 1] = np.array([len(x) for x in ids]) // np.dtype(kind).itemsize - (count - 1) * length
         out["length"] = lengths[order]
         cuts = np.flatnonzero(np.concatenate(([True], slot[1:] // rows != slot[:-1] // rows, [True])))
-        pack = zstandard.ZstdCompressor(1).compress
+        pack = zstandard.ZstdCompressor(LEVEL).compress
         return {
             "shard": slot[cuts[:-1]] // rows, "slots": [slot[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
             "records": [pack(out[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])],

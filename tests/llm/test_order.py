@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from corrmatch.llm import order, tokens
@@ -46,6 +48,15 @@ def test_slots_do_not_depend_on_the_split(spark, tmp_path):
     assert len(got[0]) > 400 and (got[0] == got[1]).all()
 
 
+def test_tokens_are_packed_tightly(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    order.materialise(docs, f"file://{tmp_path}/out").count()
+    files = list((tmp_path / "out" / "tokens").glob("*.parquet"))
+    ids = pq.read_table(files[0]).select(["ids"])
+    pq.write_table(ids, tmp_path / "usual", compression="zstd", compression_level=3, use_dictionary=False)
+    assert len(files) == 1 and os.path.getsize(files[0]) < 0.95 * os.path.getsize(tmp_path / "usual")
+
+
 def test_query_and_empty_table(spark, tmp_path):
     got = order.op4_training_order(spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
