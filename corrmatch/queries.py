@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Exclusions
@@ -147,10 +147,7 @@ def band_join_3b(spark, sf_dir):
 
 @query(f"{W}, {BAND} SELECT l_ord, r_ord, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_ord ORDER BY bound DESC, r_ord)::INT AS rn FROM x) WHERE rn <= 3")
 def band_topk_per_left(spark, sf_dir):
-    l, r = sides(spark, sf_dir)  # noqa: E741
-    pairs = candidates.length_band(l, r, 60.0).join(l.select(F.col("ord").alias("l_ord"), F.length("text").alias("a")), "l_ord").join(r.select(F.col("ord").alias("r_ord"), F.length("text").alias("b")), "r_ord")
-    order = Window.partitionBy("l_ord").orderBy(similarity.length_bound(F.col("a"), F.col("b")).desc(), "r_ord")
-    return pairs.withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("l_ord", "r_ord", "rn")
+    return candidates.nearest_lengths(*sides(spark, sf_dir), 60.0, 3)
 
 
 @query(f"{W} SELECT l.ord AS l_ord, r.ord AS r_ord, l.extension AS l_ext, r.extension AS r_ext FROM l JOIN r USING (text)")

@@ -240,3 +240,18 @@ def test_diff_function_and_context(spark):
     rows = diff.context(diff.diff_rows(df), 2)
     assert [r.shown for r in rows.where("pair_id = 1").orderBy("seq").collect()][:5] == [False, False, False, False, True]
     assert rows.where("pair_id = 2 and t = 'add'").count() == 1
+
+
+def test_nearest_lengths_meet_few_pairs(spark):
+    rng = random.Random(6)
+    for threshold, sizes in ((60.0, [0, 1, 2, 3, 4, 9, 10, 11, 20, 23, 24, 40, 90, 100, 210, 233, 234]), (100.0, [0, 1, 2, 3])):
+        sides_ = [[(i, "x" * rng.choice(sizes)) for i in range(90)] for _ in range(2)]
+        left, right = (spark.createDataFrame(rows, "ord long, text string") for rows in sides_)
+        expected = set()
+        for i, a in sides_[0]:
+            pairs = [(-200.0 * min(len(a), len(b)) / (len(a) + len(b)), j) for j, b in sides_[1] if a and b]
+            expected |= {(i, j, n + 1) for n, (_, j) in enumerate(sorted(p for p in pairs if -p[0] >= threshold)[:3])}
+        assert {tuple(r) for r in candidates.nearest_lengths(left, right, threshold, 3).collect()} == expected
+    # as many files of one length on either side: every pair has the length that it needs
+    many = spark.range(60_000).selectExpr("id AS ord", "'same' AS text")
+    assert candidates.nearest_lengths(many, many, 60.0, 3).count() == 180_000
