@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Exclusions
 from .functions import charsets, globs, profile, similarity, text
-from .operators import candidates, diff, report, resolve
+from .operators import blocks, candidates, diff, report, resolve
 from .plans import correspond
 from .sources.virtual import SQL as W
 from .sources.virtual import files, sides
@@ -342,7 +342,7 @@ def profile_counts(spark, sf_dir):
 @query()
 def similarity_phase2(spark, sf_dir):
     l, r = sides(spark, sf_dir)  # noqa: E741
-    return candidates.scored(candidates.same_name(l, r).select("l_ord", "r_ord"), l, r, 40.0)
+    return blocks.scored(l, r, 40.0, by="filename").drop("filename")
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corrmatch.config import Charsets, Exclusions, Settings, charset
 from corrmatch.functions import charsets, globs, profile, similarity, text
-from corrmatch.operators import candidates, diff, resolve
+from corrmatch.operators import blocks, candidates, diff, resolve
 
 
 def column(spark, rows, *exprs):
@@ -255,3 +255,30 @@ def test_nearest_lengths_meet_few_pairs(spark):
     # as many files of one length on either side: every pair has the length that it needs
     many = spark.range(60_000).selectExpr("id AS ord", "'same' AS text")
     assert candidates.nearest_lengths(many, many, 60.0, 3).count() == 180_000
+
+
+def test_blocks_keep_every_pair_that_scores(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["class", "def", "if", "x", "y", "(", ")", "a1", "b2", "é", '"s"', "# c\n", "\n"])
+    texts = [None, "", " \n", "# only\n", "class A", "# other"] + [" ".join(word() for _ in range(rng.choice([3, 8, 60, 300]))) for _ in range(34)]
+    rows = [[(i, f"f{i % 2}", rng.choice([".py", ".txt", None]) if side == "left" else ".sql", t) for i, t in enumerate(rng.sample(texts, len(texts)))] for side in ("left", "right")]
+    left, right = (spark.createDataFrame(r, "ord long, filename string, extension string, text string") for r in rows)
+    feature = lambda t, e: dict(zip(("form", "tokens", "ids"), similarity.features(t or "", e or ""))) | {"filled": bool((t or "").strip())}
+    score = {(a[0], b[0]): similarity.score(feature(a[3], a[2]), feature(b[3], a[2])) for a in rows[0] for b in rows[1]}
+    text = [dict((r[0], r[3] or "") for r in side) for side in rows]
+    for least, block in ((40.0, 7), (0.0, 4000), (15.0, 4000)):
+        expected = {(i, j, s) for (i, j), s in score.items() if s >= least and i % 2 == j % 2}
+        assert {(r.l_ord, r.r_ord, r.sim) for r in blocks.scored(left, right, least, by="filename", block=block).collect()} == expected
+    for least, threshold in ((60.0, 60.0), (15.0, 95.0)):
+        long = lambda i, j: text[0][i] and text[1][j] and 200.0 * min(len(text[0][i]), len(text[1][j])) / (len(text[0][i]) + len(text[1][j])) >= threshold  # noqa: B023, E731
+        expected = {(i, j, s) for (i, j), s in score.items() if s >= least and long(i, j)}
+        assert {(r.l_ord, r.r_ord, r.sim) for r in blocks.scored(left, right, least, threshold=threshold).collect()} == expected
+
+
+def test_names_meet_in_blocks_and_none_is_lost():
+    rng = random.Random(9)
+    for least in (0.7, 0.4):
+        for letters in ("abc", "abcdef0123é_", "".join(map(chr, range(0x100, 0x180)))):
+            left, right = (["", *{"".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(120)}] for _ in range(2))
+            expected = {(x, y, SequenceMatcher(None, x, y).ratio()) for x in left for y in right}
+            assert set(blocks.name_scores(left, right, least)) == {p for p in expected if p[2] >= least}
