@@ -139,6 +139,19 @@ def test_letters_after_a_plain_sample_are_read():
     assert charsets.decoded(plain + b"\xe9 x", "utf-8") == plain.decode() + "\ufffd x"
 
 
+def test_a_letter_that_ends_a_sample_is_read():
+    for letter in "éßñöüÉ":
+        for at in (0, 3, 8188, 8189, 8190, 8191, 8192):
+            for rest in ("", "x", " plain" * 2000, " naïve Größe" * 900):
+                text = "a" * at + letter + rest
+                for name in ("cp1252", "utf-8"):
+                    data = text.encode(name)
+                    # of the sample, the last byte alone does not tell
+                    expected = "utf-8" if name == "utf-8" or text[: min(8191, len(text) - 1)].isascii() else "cp1252"
+                    assert charsets.detected(data[: charsets.SAMPLE]) == expected and charsets.decoded(data) == text
+    assert charsets.decoded("é".encode() + b"a\xe9") == "éa\ufffd"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab c\n1_", max_size=60), st.text("ab c\n1_", max_size=60))
 def test_bounds_hold(a, b):
