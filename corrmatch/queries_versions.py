@@ -290,7 +290,7 @@ def charset_classes(spark, sf_dir):
     """Texts written in nine ways: what is found, and what is read back."""
     written = F.explode(F.array(*[F.struct(F.lit(v).alias("written"), fn(F.col("text")).alias("content")) for v, fn in _WRITTEN.items()])).alias("w")
     rows = documents(spark, sf_dir).select("ord", written).select("ord", "w.*").withColumn("s", charsets.inspect("content", F.lit("auto")))
-    form = F.when(~F.col("s.is_binary"), F.md5(charsets.decode("content", F.lit("auto")).cast("binary")))
+    form = F.when(~F.col("s.is_binary"), charsets.decoded_md5("content", F.lit("auto")))
     return rows.select("ord", "written", "s.is_binary", "s.text_encoding", form.alias("form"))
 
 

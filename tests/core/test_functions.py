@@ -348,3 +348,14 @@ def test_edges_of_a_file_come_to_the_driver_in_one_row(spark, monkeypatch):
     taken, gate = resolve.with_arbiter(df, "3b", "sim", lambda e: 90, Settings())
     assert [(e["l_ord"], e["r_ord"]) for e in taken] == [(i, i) for i in range(20)] and gate.calls == 20
     assert [x.count() for x in seen] == [20]
+
+
+def test_sums_of_decoded_texts():
+    import hashlib
+
+    import pandas as pd
+
+    data = pd.Series(["a\r\nb".encode("utf-16"), "a" * 8191 + "é", None, b"\xff\xfe\x00\xd8"], dtype=object).map(lambda x: x.encode("cp1252") if isinstance(x, str) else x)
+    name = pd.Series(["auto"] * 4)
+    texts = charsets.decode.__wrapped__(data, name)
+    assert charsets.decoded_md5.__wrapped__(data, name).tolist() == [hashlib.md5(t.encode()).hexdigest() for t in texts]
